@@ -28,7 +28,7 @@ _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
 
 #: Bytes of text hashed at once; longer single texts are hashed alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 96 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,10 +71,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def _block(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64), none, none
     _grow_powers(n + 1)
     inside = _IS_WORD[data]
     first, last = inside.copy(), inside.copy()
@@ -87,23 +88,30 @@ def _block(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_KEYS[data] * _powers[:n], out=sums[1:])
     keys = mix((sums[b] - sums[a]) * _inverses[a])
-    return keys, np.diff(np.searchsorted(a, starts))
+    return keys, np.diff(np.searchsorted(a, starts)), a, b
 
 
 def word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all words in order, number of words of each text)."""
-    data, starts = buffers(texts)
-    keys, counts, i, n = [], [], 0, len(starts) - 1
+    return word_spans(*buffers(texts))[:2]
+
+
+def word_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of all words, number of words of each text, where each word begins in ``data``, where it ends)."""
+    keys, counts, first, last, i, n = [], [], [], [], 0, len(starts) - 1
     with np.errstate(over="ignore"):
         while i < n:
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK_BYTES, "right")) - 1)
-            k, c = _block(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
+            k, c, a, b = _block(data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             keys.append(k)
             counts.append(c)
+            first.append(a + starts[i])
+            last.append(b + starts[i])
             i = j
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    return np.concatenate(keys), np.concatenate(counts)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64), none, none
+    return np.concatenate(keys), np.concatenate(counts), np.concatenate(first), np.concatenate(last)
 
 
 _PLACES = _RNG.integers(1, 2**64 - 1, 64, dtype=np.uint64) | np.uint64(1)
@@ -149,3 +157,36 @@ def distinct_by_text(keys: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarr
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
     return k[new], np.bincount(d[new], minlength=n)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys as differences in byte planes, which compress well."""
+    d = keys.copy()
+    d[1:] -= keys[:-1]
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Non-negative numbers below 2**64 in byte planes, as many as the largest needs (one at least); the first byte tells how many."""
+    v = np.ascontiguousarray(values, np.uint64)
+    width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+    return bytes([width]) + np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def bucket_bounds(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` equal ranges of the key space begins in rising ``keys`` (n + 1 places)."""
+    edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
+    return np.append(np.searchsorted(keys, edges), len(keys))
