@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import op2_lm, op4_packing, op7_chat, op9_secrets
+from . import op1_decontaminate, op2_lm, op4_packing, op7_chat, op9_secrets, op10_jaccard
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate.query,
+    "op10_jaccard": op10_jaccard.query,
     "op2_lm": op2_lm.query,
     "op4_packing": op4_packing.query,
     "op7_chat": op7_chat.query,
