@@ -280,5 +280,21 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     return some.union(none)
 
 
+def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each component: the one with its smallest id.
+
+    Empty texts link with nothing, so they stay.  Of rows that repeat a kept id and text one
+    stays; a component without any id keeps one row of each text.
+    """
+    near = stored(near_duplicates(documents, width, percent), "components")
+    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    n = kept.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+    ids = kept.select(F.col("doc_id").alias("__id")).distinct()
+    out = documents.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    if n["rows"] > n["ids"]:
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -167,14 +167,12 @@ def _matched(shared, ratio: float):
 _SCHEMA = "doc_id long, item_id long, score long, ratio double, first_word long, end_word long"
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, width: int = SEED_WORDS, chance: float = CHANCE, ratio: float = RATIO, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Each text and item whose best alignment reaches ``ratio`` of the item: doc_id, item_id, score, ratio, and the words it spans."""
-    spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _blocks(documents: DataFrame, benchmark: DataFrame, width: int, chance: float, block_chars: int) -> Iterator[Items]:
+    """The benchmark in blocks of about ``block_chars`` characters at most, their seeds chosen by the corpus."""
+    rows = documents.select("text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // block_chars))
-    out = None
     for b in range(blocks):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         block = Items([r["item_id"] for r in got], [r["text"] for r in got])
@@ -189,10 +187,40 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = SEED_WORDS, c
             else:
                 frequency[r["word"]] = r["n"]
         block.choose_seeds(frequency, total, width, chance, LEAST_SEEDS)
+        yield block
+
+
+def leaks(documents: DataFrame, benchmark: DataFrame, width: int = SEED_WORDS, chance: float = CHANCE, ratio: float = RATIO, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Each text and item whose best alignment reaches ``ratio`` of the item: doc_id, item_id, score, ratio, and the words it spans."""
+    spark = documents.sparkSession
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for block in _blocks(documents, benchmark, width, chance, block_chars):
         found = rows.mapInArrow(_matched(spark.sparkContext.broadcast(block), ratio), _SCHEMA)
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], _SCHEMA) if out is None else out
 
 
+def _unmatched(shared, ratio: float):
+    matched = _matched(shared, ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column("text")], ["doc_id", "text"])
+            keep = np.ones(b.num_rows, bool)
+            keep[next(matched(iter([numbered]))).column("doc_id").to_numpy()] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, width: int = SEED_WORDS, chance: float = CHANCE, ratio: float = RATIO, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that hold no copy of an item."""
+    out = documents
+    for block in _blocks(documents, benchmark, width, chance, block_chars):
+        out = out.mapInArrow(_unmatched(documents.sparkSession.sparkContext.broadcast(block), ratio), documents.schema)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

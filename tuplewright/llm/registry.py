@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_decontaminate, op2_lm, op4_packing, op7_chat, op9_secrets, op10_jaccard
+from . import op1_decontaminate, op2_lm, op3_counts, op4_packing, op5_embeddings, op6_quality, op7_chat, op8_langid, op9_secrets, op10_jaccard
 
 QUERIES = {
+    "op3_counts": op3_counts.query,
+    "op5_embeddings": op5_embeddings.query,
+    "op6_quality": op6_quality.query,
+    "op8_langid": op8_langid.query,
     "op1_decontaminate": op1_decontaminate.query,
     "op10_jaccard": op10_jaccard.query,
     "op2_lm": op2_lm.query,
