@@ -40,7 +40,7 @@ from .common import components, partitions, stored, table
 from .textkeys import bucket_bounds, distinct_by_text, mix, pack_keys, pack_numbers, shingle_keys, unpack_keys, unpack_numbers, word_keys
 
 #: Shingles gathered before a block is sent.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 LARGEST_SMALL = 24
 STAR_ROUNDS = 3
 
