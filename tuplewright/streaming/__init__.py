@@ -1,0 +1 @@
+"""Programs are batch jobs; nothing in the language is a stream, so this package is empty."""
