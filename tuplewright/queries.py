@@ -55,7 +55,7 @@ CATALOGUE: dict[str, Query] = {
         "SELECT DISTINCT a.n_nationkey::BIGINT AS a, b.n_nationkey::BIGINT AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     ),
     "semi_join": Query("Buyer(c, s) :- Customer(c, _, s), Order(_, c, _, _).", "Buyer", ("c", "s"), "SELECT DISTINCT c_custkey AS c, c_mktsegment AS s FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "anti_join": Query("Idle(c, s) :- Customer(c, _, s), NOT(Order(_, c, _, "1-URGENT")).", "Idle", ("c", "s"), "SELECT DISTINCT c_custkey AS c, c_mktsegment AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
+    "anti_join": Query('Idle(c, s) :- Customer(c, _, s), NOT(Order(_, c, _, "1-URGENT")).', "Idle", ("c", "s"), "SELECT DISTINCT c_custkey AS c, c_mktsegment AS s FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"),
     "emptiness": Query('Flag("none") :- NOT(Order(_, _, "X", _)). Flag("some") :- Order(_, _, _, _).', "Flag", ("f",), "SELECT 'none' AS f WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X') UNION SELECT 'some' WHERE EXISTS (SELECT 1 FROM orders)"),
     "union": Query("N(n) :- Customer(_, n, _). N(n) :- Supplier(_, n).", "N", ("n",), "SELECT c_nationkey::BIGINT AS n FROM customer UNION SELECT s_nationkey FROM supplier"),
     "intersect": Query(

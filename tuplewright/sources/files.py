@@ -28,7 +28,7 @@ def _unmarked(df: DataFrame, kinds: list[str]) -> DataFrame:
 
 def read(spark: SparkSession, path: str, form: str, name: str, kinds: list[str]) -> DataFrame:
     if form == "csv":
-        df = _unmarked(spark.read.schema(schema_of(kinds)).options(**_CSV).csv(path), kinds)
+        df = _unmarked(spark.read.schema(schema_of(kinds)).options(**_CSV).csv(path).na.fill(""), kinds)
     elif form == "parquet":
         df = spark.read.parquet(path)
         if len(df.columns) != len(kinds):
