@@ -14,8 +14,9 @@ the set's size are all that the exact check of a pair needs.
 
 Equal sets count as one class, so copies never meet in pairs.  Within a list, rounds of
 stars link a leader with all members of other components, and only what stays apart
-after them is paired, so a group of m near copies costs about m checks, not m^2; every
-pair of different components that shares a list is still checked.  Hot lists and classes
+after them is paired, so a group of m near copies costs about m checks, not m^2.  Pairs
+of different components are checked where the elements that follow the list's shingle
+could still make up the overlap that the pair needs; every linked pair has such a list.  Hot lists and classes
 are joined under AQE's skew splitting, never gathered.
 
 Defined results: a null text counts as empty; empty sets link with nothing and are their
@@ -157,7 +158,11 @@ def _subsets(keys: np.ndarray, q: int) -> np.ndarray:
 
 
 def _chosen(percent: int, boundary: int):
-    """Blocks' answers -> each text with its list keys and, where it has any, its shared shingles."""
+    """Blocks' answers -> each text with its list keys, their reaches and, where it has any, its shared shingles.
+
+    A list entry's reach is the most that the text can have in common with a partner whose first common shingle it
+    is: the elements from there on in order of frequency; of a subset, its size.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -172,28 +177,33 @@ def _chosen(percent: int, boundary: int):
         keys, texts = keys[o], texts[o]
         shared = np.bincount(texts, minlength=len(n))
         ends = np.cumsum(shared)
-        lists, blobs = [], []
+        lists, reaches, blobs = [], [], []
         for i in range(len(n)):
             size, have = int(n[i]), int(shared[i])
             need = -(-percent * size // 100)
             if not have or have < need:
                 lists.append(None)
+                reaches.append(None)
                 blobs.append(None)
                 continue
             own = keys[ends[i] - have : ends[i]]
-            posts = [none]
+            posts, reach = [none], [none.astype(np.int32)]
             if size <= boundary:
                 rising = np.sort(own)
-                posts += [_subsets(rising, q) for q in subset_sizes(size, boundary, percent)]
+                for q in subset_sizes(size, boundary, percent):
+                    posts.append(_subsets(rising, q))
+                    reach.append(np.full(len(posts[-1]), q, np.int32))
             if 100 * size >= percent * (boundary + 1):
                 posts.append(own[: max(0, prefix_length(size, percent) - (size - have))])
-            posts = np.unique(np.concatenate(posts))
+                reach.append(np.arange(have, have - len(posts[-1]), -1, dtype=np.int32))
+            posts = np.concatenate(posts)
             lists.append(posts.view(np.int64) if len(posts) else None)
+            reaches.append(np.concatenate(reach) if len(posts) else None)
             blobs.append(pack_keys(np.sort(own)) if len(posts) else None)
-        out = {"doc_id": about["doc_id"], "n": about["n"], "class": about["class"], "posts": pa.array(lists, pa.list_(pa.int64())), "shared": pa.array(blobs, pa.binary())}
+        out = {"doc_id": about["doc_id"], "n": about["n"], "class": about["class"], "posts": pa.array(lists, pa.list_(pa.int64())), "reach": pa.array(reaches, pa.list_(pa.int32())), "shared": pa.array(blobs, pa.binary())}
         return pa.table(out)
 
-    return run, "doc_id long, n long, class long, posts array<long>, shared binary"
+    return run, "doc_id long, n long, class long, posts array<long>, reach array<int>, shared binary"
 
 
 def _verified(percent: int):
@@ -232,8 +242,8 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
     _tidy(spark)
 
     held = texts.where("posts is not null")
-    classes = stored(held.groupBy("class").agg(F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("shared").alias("shared")), "classes")
-    posts = classes.select(F.explode("posts").alias("key"), "class", "n")
+    classes = stored(held.groupBy("class").agg(F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("reach").alias("reach"), F.first("shared").alias("shared")), "classes")
+    posts = classes.select(F.explode(F.arrays_zip("posts", "reach")).alias("p"), "class", "n").select(F.col("p.posts").alias("key"), "class", "n", F.col("p.reach").alias("reach"))
     sets = classes.select("class", "n", "shared")
     full = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posts = stored(posts.join(full, "key"), "posts")
@@ -256,13 +266,17 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
             break
         links, tested = links.union(stored(verified(pairs), "links")), tested.union(pairs)
         labels = components(links)
-        labelled = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("label"))
+        labelled = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "reach", F.coalesce("component", "class").alias("label"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         labelled = stored(labelled.join(mixed, "key"), "labelled")
         _tidy(spark)
-    x, y = (labelled.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "label")]) for s in "ab")
-    rest = x.join(y, "key").where("class_a < class_b and label_a <> label_b").where(fits(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    # A linked pair meets at its first common shingle (or a subset of its least overlap), where both reaches suffice; the
+    # smaller set's reach must suffice for a partner of its own size at least, which empties most of the long lists.
+    x, y = (labelled.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "reach", "label")]) for s in "ab")
+    x = x.where(F.col("reach_a") * (100 + percent) >= F.col("n_a") * (2 * percent))
+    rest = x.join(y, "key").where("label_a <> label_b and (n_a < n_b or n_a = n_b and class_a < class_b)").where(fits(F.col("n_a"), F.col("n_b")))
+    rest = rest.where(F.least("reach_a", "reach_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    rest = rest.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(stored(verified(rest), "links"))
     return texts.select("doc_id", "n", "class"), links
 
