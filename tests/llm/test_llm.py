@@ -71,6 +71,34 @@ def smith_waterman(a, b):
     return h.max()
 
 
+def test_decontamination_of_a_hot_item(spark):
+    item = [f"w{k}" for k in range(12)]
+    edited = ["x" if k in (2, 5) else w for k, w in enumerate(item)]
+    texts = [" ".join(item)] * 40 + ["other"] * 79 + [" ".join(edited)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in op1_decontaminate.leaks(docs, bench).collect()}
+    assert got == {i: 12 for i in range(40)} | {119: 8}
+
+
+def test_decontamination_finds_every_alignment(spark, monkeypatch):
+    monkeypatch.setattr(op1_decontaminate, "HITS", 50)
+    rng = random.Random(3)
+    word = lambda: f"w{min(rng.randrange(60), rng.randrange(60))}"
+    items = [[word() for _ in range(rng.randrange(3, 25))] for _ in range(12)] + [["alone"]]
+    texts = [["z"] * 200 + ["alone"] + ["z"] * 90]
+    for _ in range(60):
+        t = [word() for _ in range(rng.randrange(60))]
+        for w in rng.choice(items) * rng.randrange(1, 3):
+            t += rng.choice([[w], [w], [w], [w, word()], [word()], []])
+        texts.append(t + ["z"] * rng.randrange(40) + [word() for _ in range(rng.randrange(60))])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in op1_decontaminate.leaks(docs, bench).collect()}
+    scores = {(d, i): smith_waterman(item, t) for d, t in enumerate(texts) for i, item in enumerate(items)}
+    assert got == {k: v for k, v in scores.items() if v >= 0.4 * len(items[k[1]])}
+
+
 def test_alignment():
     rng = np.random.default_rng(2)
     for _ in range(50):
