@@ -243,6 +243,30 @@ def test_embeddings(spark):
     assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_hot_vectors_do_not_outweigh_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 32))
+    x[:60] = x[0] + rng.normal(size=(60, 32)) * 0.03
+    x[90:120] = x[60:90] + rng.normal(size=(30, 32)) * 0.03
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole, overlaps = op5_embeddings.index_links, []
+
+    def lossy(classes, cosine, overlap):
+        overlaps.append(overlap)
+        found = whole(classes, cosine, overlap)
+        return found.where("b is not null or links > 3") if overlap == 2 else found
+
+    monkeypatch.setattr(op5_embeddings, "index_links", lossy)
+    got = {r.vec_id: r.n_links for r in op5_embeddings.near_vectors(df).collect()}
+    assert [got[i] for i in range(120)] == [59] * 60 + [1] * 60 and overlaps == [2, 4]
+
+
+def test_worst_recall():
+    worst = op5_embeddings.worst_recall
+    assert worst({}, {}) is None and worst({1: 0}, {}) is None
+    assert worst({i: 1000 for i in range(85)} | {100 + i: 1 for i in range(10)}, {i: 1000 for i in range(85)} | {100 + i: 1 for i in range(5)}) == 0.5
+
+
 def test_quality(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -8,7 +8,9 @@ block together: greedily from the block's medoid, then range-expanding, which fo
 every vector within range until nothing new is found.  Cosines are computed in double
 precision for every vector visited, so no link is false.  Blocks of one cluster search
 each other pairwise.  An audit compares a sample of vectors with brute force over all and
-repeats with more overlap while recall is below ``RECALL``.
+repeats with more overlap while recall is below ``RECALL``.  Recall is the mean share of a
+vector's partners that are found, in the worst band of vectors with about as many partners;
+the sample grows until enough vectors with few partners are in it.
 
 Equal vectors count as one class, so copies never meet in pairs; near copies' links are
 counted, never listed, and connectivity leaves each task as a spanning forest.
@@ -23,6 +25,7 @@ one, so repeated ids stay (a component's id is the smallest non-null id in it).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,11 @@ ALPHA = 1.2
 DEGREE = 20
 BEAM = 24
 RECALL = 0.97
+#: Vectors audited at first and at most, and how many with 1 to FEW partners are wanted among them.
 AUDITED = 256
+MOST_AUDITED = 16384
+FEW = 3
+LEAST_BAND = 64
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -266,42 +273,85 @@ def _searched(cosine: float):
         a, b = pair // max(len(names), 1), pair % max(len(names), 1)
         mine = owned(a, b)
         count = np.bincount(a[mine], size[b[mine]], len(names)) + np.bincount(b[mine], size[a[mine]], len(names))
-        some = np.flatnonzero(count)
+        partners = np.bincount(a[mine], minlength=len(names)) + np.bincount(b[mine], minlength=len(names))
+        some = np.flatnonzero(partners)
         x_, y_ = _forest(a, b, len(names))
         return pa.table(
             {
                 "a": pa.array(np.concatenate([names[some], names[x_]]), pa.int64()),
                 "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(names[y_], pa.int64())]),
                 "links": pa.array(np.concatenate([count[some].astype(np.int64), np.zeros(len(x_), np.int64)])),
+                "partners": pa.array(np.concatenate([partners[some], np.zeros(len(x_), np.int64)])),
             }
         )
 
     return run
 
 
-def _true_links(shared, cosine: float):
+def _true_partners(shared, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
         total = np.zeros(len(names), np.int64)
+        step = max(1, (1 << 22) // len(q))
         for whole in batches:
-            for a in range(0, whole.num_rows, 4096):
-                b = whole.slice(a, 4096)
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
                 hit = _matrix(b.column("unit")) @ q.T >= cosine
-                total += (hit * b.column("size").to_numpy()[:, None]).sum(0)
+                hit &= b.column("class").to_numpy()[:, None] != names
+                total += hit.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["class", "true"])
 
     return run
 
 
+def _mark(column: str):
+    """The place of a class in the order of the audit, below 2**30."""
+    return F.pmod(F.xxhash64(column, F.lit("audit")), F.lit(1 << 30))
+
+
+def audited(classes: DataFrame, cosine: float) -> tuple[dict[int, int], int]:
+    """(how many other classes are partners of each one drawn, by brute force; the mark below which all are drawn)."""
+    spark = classes.sparkSession
+    n = classes.count()
+    truth: dict[int, int] = {}
+    begin, wanted = 0, AUDITED
+    while True:
+        end = int(min(1.0, wanted / max(n, 1)) * (1 << 30))
+        drawn = classes.where((_mark("class") >= begin) & (_mark("class") < end)).select("class", "unit").toArrow()
+        if drawn.num_rows:
+            shared = spark.sparkContext.broadcast((drawn["class"].to_numpy(), _matrix(drawn["unit"])))
+            got = classes.mapInArrow(_true_partners(shared, cosine), "class long, true long").groupBy("class").agg(F.sum("true").alias("true")).collect()
+            truth |= {r["class"]: r["true"] for r in got}
+        if sum(0 < t <= FEW for t in truth.values()) >= LEAST_BAND or wanted >= min(n, MOST_AUDITED):
+            return truth, end
+        begin, wanted = end, min(4 * wanted, MOST_AUDITED)
+
+
+def worst_recall(truth: dict[int, int], have: dict[int, int]) -> float | None:
+    """The least mean share of partners found over bands of vectors with about as many; None where no vector has any.
+
+    Bands next to each other are taken together only while both are small.
+    """
+    linked = sorted((t, min(1.0, have.get(c, 0) / t)) for c, t in truth.items() if t)
+    bands: list[list[float]] = []
+    for _, band in groupby(linked, lambda x: x[0].bit_length()):
+        shares = [x for _, x in band]
+        if bands and max(len(bands[-1]), len(shares)) < LEAST_BAND:
+            bands[-1] += shares
+        else:
+            bands.append(shares)
+    return min((sum(x) / len(x) for x in bands), default=None)
+
+
 def index_links(classes: DataFrame, cosine: float, overlap: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, links) of one pass: rows with b null count a's links, the others join a and b."""
+    """(a, b, links, partners) of one pass: rows with b null count a's links and the classes linked, the others join a and b."""
     spark = classes.sparkSession
     n = classes.count()
     share = min(1.0, SAMPLE / max(n, 1))
     drawn = classes.where(F.pmod(F.xxhash64("class"), F.lit(1 << 30)) < share * (1 << 30)).select("class", "unit").toArrow().sort_by("class")
     x = _matrix(drawn["unit"])
     if not len(x):
-        return spark.createDataFrame([], "a long, b long, links long")
+        return spark.createDataFrame([], "a long, b long, links long, partners long")
     k = max(1, min(-(-n * overlap // block), len(x) // 8))
     near = _assigned(spark.sparkContext.broadcast(centres(x, k)), overlap)
     points = classes.mapInArrow(near, "class long, size long, unit array<double>, clusters array<int>")
@@ -316,7 +366,7 @@ def index_links(classes: DataFrame, cosine: float, overlap: int, block: int = BL
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = full.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     tasks = tasks.select("cluster", "i", "j", "block", "class", "size", "unit", "clusters", "near")
-    return tasks.groupBy("cluster", "i", "j").applyInArrow(_searched(cosine), "a long, b long, links long")
+    return tasks.groupBy("cluster", "i", "j").applyInArrow(_searched(cosine), "a long, b long, links long, partners long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, most_overlap: int = 6) -> DataFrame:
@@ -326,21 +376,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, m
     rows = stored(rows.mapInArrow(_hashed, "vec_id long, class long, unit array<double>"), "vectors")
     valid = rows.where("class is not null")
     classes = stored(valid.groupBy("class").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("unit").alias("unit")), "classes")
-    n = classes.count()
-    drawn = classes.where(F.pmod(F.xxhash64("class", F.lit("audit")), F.lit(1 << 30)) < min(1.0, AUDITED / max(n, 1)) * (1 << 30)).select("class", "size", "unit").toArrow()
-    truth = {}
-    if drawn.num_rows:
-        shared = spark.sparkContext.broadcast((drawn["class"].to_numpy(), _matrix(drawn["unit"])))
-        got = classes.mapInArrow(_true_links(shared, cosine), "class long, true long").groupBy("class").agg(F.sum("true").alias("true")).collect()
-        own = dict(zip(drawn["class"].to_pylist(), drawn["size"].to_pylist()))
-        truth = {r["class"]: r["true"] - own[r["class"]] for r in got}
+    truth, end = audited(classes, cosine)
+
+    def measured(found: DataFrame) -> float | None:
+        """Worst recall, 1 where all vectors are audited and none has a partner, None where just none of a sample has."""
+        have = found.where((F.col("b").isNull()) & (_mark("a") < end)).groupBy("a").agg(F.sum("partners").alias("n")).collect()
+        recall = worst_recall(truth, {r["a"]: r["n"] for r in have})
+        return 1.0 if recall is None and end == 1 << 30 else recall
+
     while True:
         found = stored(index_links(classes, cosine, overlap), "found")
         links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-        wanted = sum(truth.values())
-        have = links.where(F.col("a").isin(list(truth))).agg(F.coalesce(F.sum("links"), F.lit(0)).alias("n")).first()["n"] if wanted else 0
-        near_vectors.recall = have / wanted if wanted else 1.0
-        if near_vectors.recall >= RECALL or overlap >= most_overlap:
+        near_vectors.recall = measured(found)
+        if overlap >= most_overlap or (near_vectors.recall or 0) >= RECALL:
             break
         overlap = min(most_overlap, overlap + 2)
     label = components(found.where("b is not null").select("a", "b"))
