@@ -261,6 +261,24 @@ def test_hot_vectors_do_not_outweigh_pairs(spark, monkeypatch):
     assert [got[i] for i in range(120)] == [59] * 60 + [1] * 60 and overlaps == [2, 4]
 
 
+def test_low_recall_falls_back_on_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 16))
+    x[30:60] = x[:30] + rng.normal(size=(30, 16)) * 0.03
+    x[60:75] = x[0] + rng.normal(size=(15, 16)) * 0.03
+    x[75:80] = x[1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(op5_embeddings, "index_links", lambda classes, *_: spark.createDataFrame([], "a long, b long, links long, partners long"))
+    monkeypatch.setattr(op5_embeddings, "CHUNK", 20, raising=False)
+    got = {r.vec_id: r for r in op5_embeddings.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    want = components([(a, b) for a, b in np.argwhere(near).tolist() if a < b], range(90))
+    assert [got[i].n_links for i in range(90)] == (near.sum(1) - 1).tolist()
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert all(r.recall == 1 for r in got.values())
+
+
 def test_worst_recall():
     worst = op5_embeddings.worst_recall
     assert worst({}, {}) is None and worst({1: 0}, {}) is None

@@ -10,7 +10,9 @@ precision for every vector visited, so no link is false.  Blocks of one cluster
 each other pairwise.  An audit compares a sample of vectors with brute force over all and
 repeats with more overlap while recall is below ``RECALL``.  Recall is the mean share of a
 vector's partners that are found, in the worst band of vectors with about as many partners;
-the sample grows until enough vectors with few partners are in it.
+the sample grows until enough vectors with few partners are in it.  Where the most overlap is
+not enough, all vectors are compared with all by brute force (its time grows with the square of their
+number).  The column ``recall`` has the recall that was measured, null where no vector of a part audited has a partner.
 
 Equal vectors count as one class, so copies never meet in pairs; near copies' links are
 counted, never listed, and connectivity leaves each task as a spanning forest.
@@ -46,6 +48,8 @@ AUDITED = 256
 MOST_AUDITED = 16384
 FEW = 3
 LEAST_BAND = 64
+#: Vectors that all are compared with at a time by brute force.
+CHUNK = 16384
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -369,8 +373,52 @@ def index_links(classes: DataFrame, cosine: float, overlap: int, block: int = BL
     return tasks.groupBy("cluster", "i", "j").applyInArrow(_searched(cosine), "a long, b long, links long, partners long")
 
 
+def _brute(shared, cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, size, q = shared.value
+        step = max(1, (1 << 21) // len(q))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                own = b.column("class").to_numpy()
+                r, c = np.nonzero((_matrix(b.column("unit")) @ q.T >= cosine) & (own[:, None] != names))
+                count = np.bincount(r, size[c], len(own)).astype(np.int64)
+                partners = np.bincount(r, minlength=len(own))
+                some = np.flatnonzero(partners)
+                node, of = np.unique(np.concatenate([own[r], names[c]]), return_inverse=True)
+                x, y = _forest(of[: len(r)], of[len(r) :], len(node))
+                none = np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([own[some], node[x]]), pa.int64()),
+                        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(node[y], pa.int64())]),
+                        pa.array(np.concatenate([count[some], none])),
+                        pa.array(np.concatenate([partners[some], none])),
+                    ],
+                    ["a", "b", "links", "partners"],
+                )
+
+    return run
+
+
+def all_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """What ``index_links`` returns, by brute force over all pairs."""
+    spark = classes.sparkSession
+    chunks = -(-classes.count() // CHUNK)
+    out = None
+    for k in range(chunks):
+        t = classes.where(F.pmod(F.xxhash64("class", F.lit("chunk")), F.lit(chunks)) == k).select("class", "size", "unit").toArrow()
+        if not t.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((t["class"].to_numpy(), t["size"].to_numpy(), _matrix(t["unit"])))
+        found = stored(classes.mapInArrow(_brute(shared, cosine), "a long, b long, links long, partners long"), "brute")
+        shared.unpersist()
+        out = found if out is None else out.union(found)
+    return spark.createDataFrame([], "a long, b long, links long, partners long") if out is None else out
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, most_overlap: int = 6) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
+    """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = stored(rows.mapInArrow(_hashed, "vec_id long, class long, unit array<double>"), "vectors")
@@ -386,11 +434,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, m
 
     while True:
         found = stored(index_links(classes, cosine, overlap), "found")
-        links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
         near_vectors.recall = measured(found)
         if overlap >= most_overlap or (near_vectors.recall or 0) >= RECALL:
             break
         overlap = min(most_overlap, overlap + 2)
+    if near_vectors.recall is not None and near_vectors.recall < RECALL:
+        found = all_links(classes, cosine)
+        near_vectors.recall = measured(found)
+        if near_vectors.recall < RECALL:
+            raise RuntimeError(f"recall {near_vectors.recall} of a search by brute force")
+    links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     label = components(found.where("b is not null").select("a", "b"))
     of_class = classes.select("class", "size", "least").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
     ids = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -398,7 +451,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, m
     of_class = of_class.select("class", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     linked = valid.join(of_class, "class").select("vec_id", "n_links", "component_id")
     alone = rows.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
+    return linked.union(alone).withColumn("kept", kept).withColumn("recall", F.lit(near_vectors.recall).cast("double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
