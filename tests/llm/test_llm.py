@@ -335,6 +335,28 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(total[:, 0], [np.log(brute(w)) for w in words])
 
 
+def test_long_words_count_in_learning():
+    pieces = op8_langid.Pieces()
+    at = {p: i for i, p in enumerate(pieces.pieces)}
+    rng = random.Random(9)
+    words = [b" " + "".join(rng.choice(["the", "ing", "qz", "ñ"]) for _ in range(n)).encode() for n in (2, 11, 14, 30, 300)]
+    counts = np.array([3, 1, 2, 1, 1])
+    p = op8_langid.learn(pieces, words, counts, 0)
+    got = op8_langid.learn(pieces, words, counts, 1)
+    want = np.full(len(p), op8_langid.SMOOTHING)
+    for w, n in zip(words, counts):
+        edges = [(a, b, at[w[a:b]]) for a in range(len(w)) for b in range(a + 1, min(len(w), a + pieces.longest) + 1) if w[a:b] in at]
+        alpha, beta = np.zeros(len(w) + 1, np.longdouble), np.zeros(len(w) + 1, np.longdouble)
+        alpha[0] = beta[-1] = 1
+        for a, b, i in edges:
+            alpha[b] += alpha[a] * p[i]
+        for a, b, i in sorted(edges, key=lambda e: -e[1]):
+            beta[a] += beta[b] * p[i]
+        for a, b, i in edges:
+            want[i] += float(n * alpha[a] * p[i] * beta[b] / alpha[-1])
+    assert np.allclose(got, want / want.sum(), rtol=1e-6)
+
+
 def test_secrets(spark):
     texts = ["password = hunter22 é", "PassWD:'abc'", "x" * 9 + " token: secret=abcdefgh", "AKIA" + "A" * 16 + " " + "f" * 24, "é\U0001f600 api_key=\"AbCdEf12\"", None, "", "deadbeef" * 3]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(3, texts[3], 1), (None, texts[0], 1)]

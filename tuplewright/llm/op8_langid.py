@@ -3,8 +3,9 @@
 A fixed public vocabulary of pieces has a probability for each piece and language.  The
 probability of a word is the sum over all its segmentations into pieces, from a forward
 pass over its bytes; a text's is the product over its words.  Piece probabilities come
-from labelled texts by expectation maximisation over the same lattice.  Single bytes are
-always pieces, so every text has a segmentation.
+from labelled texts by expectation maximisation over the same lattice, words of any length
+counting (a clause is one word in languages without spaces).  Single bytes are always pieces,
+so every text has a segmentation.
 
 Forward passes run over all distinct words of a batch together in numpy, and the values
 of words met lately are kept.
@@ -126,35 +127,53 @@ def forward(size: np.ndarray, edges: list, p: np.ndarray) -> tuple[np.ndarray, n
     return alpha, total
 
 
+def batches_of(words: list[bytes]) -> Iterator[np.ndarray]:
+    """The places of all words, rising by length, in batches that a lattice holds."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    a = 0
+    while a < len(order):
+        b = a + max(1, min(4096, 400_000 // len(words[order[min(a + 4095, len(order) - 1)]])))
+        yield order[a:b]
+        a = b
+
+
+def expected_counts(size: np.ndarray, edges: list, weight: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words of these weights, from forward and backward passes over logarithms, so of any length."""
+    n, width = len(size), len(edges)
+    alpha, beta = np.full((n, width + 1), -np.inf), np.full((n, width + 1), -np.inf)
+    alpha[:, 0] = 0
+    beta[np.arange(n), size] = 0
+    for t in range(1, width + 1):
+        for k, rows, ids in edges[t - 1]:
+            alpha[rows, t] = np.logaddexp(alpha[rows, t], alpha[rows, t - k] + log_p[ids])
+    whole = alpha[np.arange(n), size]
+    expected = np.zeros(len(log_p))
+    for t in range(width, 0, -1):
+        for k, rows, ids in edges[t - 1]:
+            after = beta[rows, t] + log_p[ids]
+            beta[rows, t - k] = np.logaddexp(beta[rows, t - k], after)
+            np.add.at(expected, ids, weight[rows] * np.exp(alpha[rows, t - k] + after - whole[rows]))
+    return expected
+
+
 def learn(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Piece probabilities that make ``words``, met ``counts`` times, likely."""
-    keep = [i for i, w in enumerate(words) if len(w) <= 48]  # longer ones teach no language
-    words, counts = [words[i] for i in keep], counts[keep]
-    order = np.argsort([len(w) for w in words], kind="stable")
-    chunks = [order[a : a + 4096] for a in range(0, len(order), 4096)]
-    lattices = [pieces.lattice([words[i] for i in c]) for c in chunks]
+    chunks = list(batches_of(words))
     p = np.full(len(pieces.pieces), 1.0 / len(pieces.pieces))
+    kept: dict[int, tuple] = {}
     for r in range(rounds + 1):
         expected = np.full(len(p), SMOOTHING)
-        for c, (size, edges) in zip(chunks, lattices):
+        for i, c in enumerate(chunks):
+            size, edges = kept[i] if i in kept else pieces.lattice([words[j] for j in c])
+            if len(edges) <= 48:  # lattices of longer words are made anew, as they take much memory
+                kept[i] = size, edges
             weight = counts[c].astype(float)
             if r == 0:  # begin with how often each piece occurs, longer ones counting for more
                 for here in edges:
                     for k, rows, ids in here:
-                        expected += np.bincount(ids, weight[rows] * k, len(p))
-                continue
-            alpha, _ = forward(size, edges, p[:, None])
-            alpha = alpha[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[np.arange(len(size)), size] = 1
-            for t in range(len(edges), 0, -1):
-                for k, rows, ids in edges[t - 1]:
-                    beta[rows, t - k] += beta[rows, t] * p[ids]
-            whole = np.maximum(beta[:, 0], 1e-300)
-            clean = np.where(size < 32, weight / whole, 0)  # alpha of longer words is rescaled on the way
-            for t in range(1, len(edges) + 1):
-                for k, rows, ids in edges[t - 1]:
-                    expected += np.bincount(ids, clean[rows] * alpha[rows, t - k] * p[ids] * beta[rows, t], len(p))
+                        np.add.at(expected, ids, weight[rows] * k)
+            else:
+                expected += expected_counts(size, edges, weight, np.log(p))
         p = expected / expected.sum()
     return p
 
@@ -182,12 +201,8 @@ class WordScores:
             text, where = data.tobytes(), first[missing]
             words = [_fold_case(text[a:b]) for a, b in zip(begins[where].tolist(), ends[where].tolist())]
             new = np.empty((len(words), self.p.shape[1]))
-            order = np.argsort([len(w) for w in words], kind="stable")
-            a = 0
-            while a < len(order):
-                b = a + max(1, min(4096, 400_000 // len(words[order[min(a + 4095, len(order) - 1)]])))
-                new[order[a:b]] = forward(*self.pieces.lattice([words[i] for i in order[a:b]]), self.p)[1]
-                a = b
+            for c in batches_of(words):
+                new[c] = forward(*self.pieces.lattice([words[i] for i in c]), self.p)[1]
             keys = np.concatenate([self.keys, unique[missing]])
             o = np.argsort(keys)
             self.keys, self.scores = keys[o], np.concatenate([self.scores, new])[o]
