@@ -166,6 +166,19 @@ def test_token_counts(spark):
             assert r.text == want[r.doc_id]
 
 
+def test_rebuilding_counts_as_reencoded():
+    count = op3_counts.counter()
+    t = op3_counts.CountedText("a few words " * 40, count, 4)
+    t.edit(5, 5, "x")
+    small = t.reencoded
+    assert 0 < small < len(t.text)
+    t.edit(100, 100, " grown" * 500)
+    assert t.reencoded - small >= len(t.text) + 3000
+    empty = op3_counts.CountedText("", count, 4)
+    empty.edit(0, 0, "some new text")
+    assert empty.reencoded == 2 * 13 and empty.tokens == len(count.encoding.encode_ordinary("some new text"))
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

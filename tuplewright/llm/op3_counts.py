@@ -120,6 +120,7 @@ class CountedText:
         size = max(1, -(-len(tokens) // places)) if places else 0
         if not places or size > 8 * self.leaf:
             self._build()  # grown too far for its tree
+            self.reencoded += len(text)
             return
         leaves = self._leaves(tokens, size)
         leaves += [(0, 0)] * (places - len(leaves))
