@@ -16,8 +16,12 @@ Equal sets count as one class, so copies never meet in pairs.  Within a list, ro
 stars link a leader with all members of other components, and only what stays apart
 after them is paired, so a group of m near copies costs about m checks, not m^2.  Pairs
 of different components are checked where the elements that follow the list's shingle
-could still make up the overlap that the pair needs; every linked pair has such a list.  Hot lists and classes
-are joined under AQE's skew splitting, never gathered.
+could still make up the overlap that the pair needs; every linked pair has such a list.
+A sketch of each set's shared shingles (the parity of those that fall on each of its
+bits) bounds the difference of two sets from below, as what they have in common cancels
+out; pairs whose sketches already differ by too much never leave the join.  So of a group
+of copies edited beyond the threshold only the pairs next to it are looked at.  Hot lists
+and classes are joined under AQE's skew splitting, never gathered.
 
 Defined results: a null text counts as empty; empty sets link with nothing and are their
 own component; rows are judged one by one, so rows with equal ids may differ in
@@ -44,6 +48,8 @@ from .textkeys import bucket_bounds, distinct_by_text, mix, pack_keys, pack_numb
 BLOCK_SHINGLES = 1_500_000
 LARGEST_SMALL = 24
 STAR_ROUNDS = 3
+#: 64-bit words of a sketch.  It tells sets apart whose allowed difference is below about half its bits: some 2,500 shingles.
+SKETCH_WORDS = 16
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -157,11 +163,22 @@ def _subsets(keys: np.ndarray, q: int) -> np.ndarray:
     return total
 
 
+def sketches(keys: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` sets, the parity of its elements on each bit: two sets differ in as many elements as bits at least."""
+    out = np.zeros((n, SKETCH_WORDS), np.uint64)
+    with np.errstate(over="ignore"):
+        bit = mix(keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+    bit = bit % np.uint64(64 * SKETCH_WORDS)
+    np.bitwise_xor.at(out, (of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
 def _chosen(percent: int, boundary: int):
     """Blocks' answers -> each text with its list keys, their reaches and, where it has any, its shared shingles.
 
     A list entry's reach is the most that the text can have in common with a partner whose first common shingle it
-    is: the elements from there on in order of frequency; of a subset, its size.
+    is: the elements from there on in order of frequency; of a subset, its size.  ``own`` counts the shingles that no
+    other text has.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -177,7 +194,8 @@ def _chosen(percent: int, boundary: int):
         keys, texts = keys[o], texts[o]
         shared = np.bincount(texts, minlength=len(n))
         ends = np.cumsum(shared)
-        lists, reaches, blobs = [], [], []
+        sketch = sketches(keys, texts, len(n))
+        lists, reaches, blobs, marks = [], [], [], []
         for i in range(len(n)):
             size, have = int(n[i]), int(shared[i])
             need = -(-percent * size // 100)
@@ -185,6 +203,7 @@ def _chosen(percent: int, boundary: int):
                 lists.append(None)
                 reaches.append(None)
                 blobs.append(None)
+                marks.append(None)
                 continue
             own = keys[ends[i] - have : ends[i]]
             posts, reach = [none], [none.astype(np.int32)]
@@ -200,10 +219,11 @@ def _chosen(percent: int, boundary: int):
             lists.append(posts.view(np.int64) if len(posts) else None)
             reaches.append(np.concatenate(reach) if len(posts) else None)
             blobs.append(pack_keys(np.sort(own)) if len(posts) else None)
-        out = {"doc_id": about["doc_id"], "n": about["n"], "class": about["class"], "posts": pa.array(lists, pa.list_(pa.int64())), "reach": pa.array(reaches, pa.list_(pa.int32())), "shared": pa.array(blobs, pa.binary())}
+            marks.append(sketch[i] if len(posts) else None)
+        out = {"doc_id": about["doc_id"], "n": about["n"], "class": about["class"], "own": pa.array(n - shared), "sketch": pa.array(marks, pa.list_(pa.int64())), "posts": pa.array(lists, pa.list_(pa.int64())), "reach": pa.array(reaches, pa.list_(pa.int32())), "shared": pa.array(blobs, pa.binary())}
         return pa.table(out)
 
-    return run, "doc_id long, n long, class long, posts array<long>, reach array<int>, shared binary"
+    return run, "doc_id long, n long, class long, own long, sketch array<long>, posts array<long>, reach array<int>, shared binary"
 
 
 def _verified(percent: int):
@@ -242,8 +262,8 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
     _tidy(spark)
 
     held = texts.where("posts is not null")
-    classes = stored(held.groupBy("class").agg(F.first("n").alias("n"), F.first("posts").alias("posts"), F.first("reach").alias("reach"), F.first("shared").alias("shared")), "classes")
-    posts = classes.select(F.explode(F.arrays_zip("posts", "reach")).alias("p"), "class", "n").select(F.col("p.posts").alias("key"), "class", "n", F.col("p.reach").alias("reach"))
+    classes = stored(held.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "own", "sketch", "posts", "reach", "shared")]), "classes")
+    posts = classes.select(F.explode(F.arrays_zip("posts", "reach")).alias("p"), "class", "n", "own").select(F.col("p.posts").alias("key"), "class", "n", "own", F.col("p.reach").alias("reach"))
     sets = classes.select("class", "n", "shared")
     full = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     posts = stored(posts.join(full, "key"), "posts")
@@ -258,7 +278,9 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
     links, tested = spark.createDataFrame([], schema), spark.createDataFrame([], schema)
     labelled = posts.withColumn("label", F.col("class"))
     for r in range(STAR_ROUNDS):
-        lead = labelled.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(r), "class").alias("h"), "class", "n", "label")).alias("l"))
+        # first the set with the least share of its own, the likeliest source of the rest; then any
+        rank = F.col("own") / F.col("n") if not r else F.lit(0.0)
+        lead = labelled.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.xxhash64(F.lit(r), "class").alias("h"), "class", "n", "label")).alias("l"))
         star = labelled.join(lead, "key").where(F.col("label") != F.col("l.label")).where(fits(F.col("n"), F.col("l.n")))
         pairs = star.select(F.least("class", "l.class").alias("a"), F.greatest("class", "l.class").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -266,16 +288,21 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
             break
         links, tested = links.union(stored(verified(pairs), "links")), tested.union(pairs)
         labels = components(links)
-        labelled = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "reach", F.coalesce("component", "class").alias("label"))
+        labelled = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "own", "reach", F.coalesce("component", "class").alias("label"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
         labelled = stored(labelled.join(mixed, "key"), "labelled")
         _tidy(spark)
     # A linked pair meets at its first common shingle (or a subset of its least overlap), where both reaches suffice; the
     # smaller set's reach must suffice for a partner of its own size at least, which empties most of the long lists.
-    x, y = (labelled.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "reach", "label")]) for s in "ab")
+    labelled = labelled.join(classes.select("class", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]), "class")
+    x, y = (labelled.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "own", "reach", "label", *(f"s{i}" for i in range(SKETCH_WORDS)))]) for s in "ab")
     x = x.where(F.col("reach_a") * (100 + percent) >= F.col("n_a") * (2 * percent))
+    apart = F.col("own_a") + F.col("own_b")
+    for i in range(SKETCH_WORDS):
+        apart = apart + F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b")))
     rest = x.join(y, "key").where("label_a <> label_b and (n_a < n_b or n_a = n_b and class_a < class_b)").where(fits(F.col("n_a"), F.col("n_b")))
     rest = rest.where(F.least("reach_a", "reach_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    rest = rest.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     rest = rest.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(stored(verified(rest), "links"))
     return texts.select("doc_id", "n", "class"), links
