@@ -31,7 +31,6 @@ shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from math import comb
 
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, stored, table
+from .common import components, discard, partitions, stored, table
 from .textkeys import bucket_bounds, distinct_by_text, mix, pack_keys, pack_numbers, shingle_keys, unpack_keys, unpack_numbers, word_keys
 
 #: Shingles gathered before a block is sent.
@@ -238,12 +237,6 @@ def _verified(percent: int):
     return run
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(texts, links): every row's (doc_id, n, class), and the verified links (a, b) between classes that join them up."""
     spark = documents.sparkSession
@@ -258,11 +251,10 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
     answered = posted.groupBy("bucket").applyInArrow(_answered, "part long, keys binary, texts binary, dfs binary, about binary")
     run, schema = _chosen(percent, boundary)
     texts = stored(answered.groupBy("part").applyInArrow(run, schema), "sets")
-    del posted, answered
-    _tidy(spark)
-
     held = texts.where("posts is not null")
+    wide, texts = texts, stored(texts.select("doc_id", "n", "class"), "texts")
     classes = stored(held.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "own", "sketch", "posts", "reach", "shared")]), "classes")
+    discard(wide)
     posts = classes.select(F.explode(F.arrays_zip("posts", "reach")).alias("p"), "class", "n", "own").select(F.col("p.posts").alias("key"), "class", "n", "own", F.col("p.reach").alias("reach"))
     sets = classes.select("class", "n", "shared")
     full = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -270,13 +262,12 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"))
-        wide = pairs.join(side("b"), "b").join(side("a"), "a")
-        return wide.mapInArrow(_verified(percent), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verified(percent), "a long, b long")
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     schema = "a long, b long"
     links, tested = spark.createDataFrame([], schema), spark.createDataFrame([], schema)
-    labelled = posts.withColumn("label", F.col("class"))
+    labelled, labelled_at = posts.withColumn("label", F.col("class")), None
     for r in range(STAR_ROUNDS):
         # first the set with the least share of its own, the likeliest source of the rest; then any
         rank = F.col("own") / F.col("n") if not r else F.lit(0.0)
@@ -290,8 +281,10 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
         labels = components(links)
         labelled = posts.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "n", "own", "reach", F.coalesce("component", "class").alias("label"))
         mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        labelled = stored(labelled.join(mixed, "key"), "labelled")
-        _tidy(spark)
+        last, labelled = labelled_at, stored(labelled.join(mixed, "key"), "labelled")
+        labelled_at = labelled
+        if last is not None:
+            discard(last)
     # A linked pair meets at its first common shingle (or a subset of its least overlap), where both reaches suffice; the
     # smaller set's reach must suffice for a partner of its own size at least, which empties most of the long lists.
     labelled = labelled.join(classes.select("class", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]), "class")
@@ -305,7 +298,7 @@ def link_sets(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[
     rest = rest.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     rest = rest.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     links = links.union(stored(verified(rest), "links"))
-    return texts.select("doc_id", "n", "class"), links
+    return texts, links
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

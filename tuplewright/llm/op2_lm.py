@@ -1,16 +1,20 @@
 """LM scoring with a weighted backoff automaton.
 
 N-gram counts of the training texts are gathered without bringing the model to
-any one place.  Texts are dealt to groups by id; a group sends its distinct
-n-grams, as sorted key blobs with their training counts, to buckets of the key
-space; a bucket adds up what all groups sent and answers each group with the
-totals of just the n-grams it asked for.  Each group then has the part of the
-model that its texts touch, and turns it into an automaton: states are n-grams
-below the highest order seen in training, an arc reads a word, and a failure arc
-leads to the next shorter suffix at a cost.  One pass from left to right over a
-text carries the state and adds up log10 probabilities (all texts of a group step
-together).  Nothing here grows faster than the corpus, and no task holds more than
-a group's or a bucket's share.
+any one place.  Each input partition is cut into blocks of a bounded number of
+tokens.  A block sends its distinct n-grams, as sorted key blobs with their training
+counts, to buckets of the key space, and along with one of them what is left of its
+texts (ids, lengths and words by number); a bucket adds up what all blocks sent and
+answers each block with the totals of just the n-grams it asked for.  So texts are
+read once and never shuffled.  Each block then has the part of the model that its
+texts touch, and turns it into an automaton: states are n-grams below the highest
+order seen in training, an arc reads a word, and a failure arc leads to the next
+shorter suffix at a cost.  One pass from left to right over a text carries the state
+and adds up log10 probabilities (all texts of a block step together).  A block holds
+``BLOCK_TOKENS`` tokens or a single longer text, whatever the ids; buckets follow the
+bytes of text.  Nothing here grows faster than the corpus, but for the number of blobs
+(blocks times buckets, each of some thousand n-grams at 1 GB): beyond about 250 GB a
+blob would have 20 n-grams, and ``BLOCK_TOKENS`` should grow with the memory at hand.
 
 Smoothing: hierarchical Dirichlet.  With counts c, p(w|h) = (c(hw) + m p(w|h')) /
 (c(h) + m), h' being h without its first word; as an automaton: arcs for seen hw,
@@ -21,13 +25,19 @@ known words, the end and the unknown class add up to 1 in every state.
 
 Defined results: a null text is empty and consists of its end alone; null ids and
 repeated rows are scored row by row; without training texts N = V = 0 and every
-token has probability 1 in both models; n-grams are compared by 61-bit hashes.
+token has probability 1 in both models; words are compared by 61-bit hashes, longer
+n-grams by hashes whose bits grow with the corpus (``gram_bits``), so that about one
+n-gram in 250,000 shares its hash with another at any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,90 +47,151 @@ from .textkeys import bucket_bounds, mix, pack_keys, pack_numbers, unpack_keys,
 BEGIN = np.uint64(0x5BD1E9955BD1E980)
 END = np.uint64(0x1B873593CC9E2D50)
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_LEVEL = np.uint64(3)
-_TRAINED = np.uint64(4)
+_TRAINED = np.uint64(1)
 _MARKS = np.uint64(7)
 
-#: Bytes of the input file for each group of texts.
-GROUP_BYTES = 8 << 20
-MASS = 2000.0
-
+#: Tokens of a block, and bytes of text whose n-grams a bucket adds up.
+BLOCK_TOKENS = 300_000
+BUCKET_BYTES = 5 << 20
+MASS = 300.0
 
-def token_stream(texts: pa.Array, order: int):
-    """Begin, words and end of every text in one row: (level keys [order][tokens], text lengths with both marks).
 
-    The key of level n at a place is that of the n-gram ending there, 0 where a text has no such n-gram.
-    """
+def word_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Begin, words and end of every text in one row, as keys; and the lengths of texts with both marks."""
     words, counts = word_keys(texts)
     lengths = counts + 2
-    n = int(lengths.sum())
     starts = np.cumsum(lengths) - lengths
-    stream = np.empty(n, np.uint64)
-    inner = np.ones(n, bool)
+    stream = np.empty(int(lengths.sum()), np.uint64)
+    inner = np.ones(len(stream), bool)
     inner[starts] = inner[starts + lengths - 1] = False
     stream[inner] = words & ~_MARKS
     stream[starts], stream[starts + lengths - 1] = BEGIN, END
-    place = np.arange(n) - np.repeat(starts, lengths)
+    return stream, lengths
+
+
+def gram_bits(size: int) -> int:
+    """Bits of an n-gram's hash for ``size`` bytes of text, which hold a third as many n-grams at most."""
+    return min(61, max(32, int(size).bit_length() + 16))
+
+
+def gram_levels(stream: np.ndarray, lengths: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """Keys [order][tokens]: that of level n at a place is of the n-gram ending there, 0 where a text has no such n-gram.
+
+    Level 0 has the words' keys, the others have their highest ``bits`` bits only.
+    """
+    cut = ~np.uint64((1 << (64 - bits)) - 1)
+    place = np.arange(len(stream)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     levels = [stream]
     with np.errstate(over="ignore"):
         total = stream * _SALTS[0]
         for k in range(1, order):
             total = stream * _SALTS[0] + np.concatenate([np.zeros(1, np.uint64), total[:-1]]) * _SALTS[k]
-            key = (mix(total) & ~_MARKS) | np.uint64(k)
+            key = np.maximum(mix(total) & cut, ~cut + np.uint64(1))
             key[place < k] = 0
             levels.append(key)
-    return levels, lengths
+    return levels
+
+
+def _asked(buckets: int, order: int, bits: int):
+    """Blocks of texts -> their distinct n-grams with training counts, a row for each bucket, and a row of what the block is."""
+
+    def block(part: int, ids: pa.Array, train: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        trained = np.where(np.repeat(train, lengths), _TRAINED, np.uint64(0))
+        levels = gram_levels(stream, lengths, order, bits)
+        at, kinds, blobs, counts = [], [], [], []
+        for kind, chosen in enumerate((levels[:1], levels[1:])):
+            if not chosen:
+                continue
+            keys = np.concatenate([(k | trained)[k > 0] for k in chosen])
+            keys.sort()
+            own = (keys & _TRAINED).astype(np.int64)
+            keys &= ~_TRAINED
+            new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            own, keys = np.add.reduceat(own, new), keys[new]
+            bounds = bucket_bounds(keys, buckets)
+            for b in np.flatnonzero(bounds[1:] > bounds[:-1]):
+                x = slice(bounds[b], bounds[b + 1])
+                at.append(int(b))
+                kinds.append(kind)
+                blobs.append(pack_keys(keys[x] >> np.uint64(64 - bits if kind else 0)))
+                counts.append(pack_numbers(own[x]))
+        n = len(at)
+        words, places = np.unique(stream, return_inverse=True)
+        about = pa.RecordBatch.from_arrays([ids, pa.array(train), pa.array(lengths)], ["doc_id", "train", "length"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, about.schema) as w:
+            w.write_batch(about)
+        none = pa.nulls(n, pa.binary())
+        one = lambda x: pa.array([x], pa.binary())
+        home = int(mix(np.array([part], np.uint64))[0] % np.uint64(buckets))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*at, home], pa.int32()),
+                pa.array([part] * (n + 1), pa.int64()),
+                pa.array([*kinds, None], pa.int32()),
+                pa.array([*blobs, None], pa.binary()),
+                pa.array([*counts, None], pa.binary()),
+                pa.concat_arrays([none, one(sink.getvalue().to_pybytes())]),
+                pa.concat_arrays([none, one(pack_keys(words))]),
+                pa.concat_arrays([none, one(pack_numbers(places))]),
+            ],
+            ["bucket", "part", "kind", "keys", "counts", "about", "words", "places"],
+        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, kept = TaskContext.get().partitionId() << 24, 0, []
 
-def _asked(groups: int, buckets: int, order: int):
-    """Each group's distinct n-grams with their training counts, a row for each bucket."""
+        def joined() -> pa.RecordBatch:
+            return block(part, pa.concat_arrays([k[0] for k in kept]), *(np.concatenate([k[i] for k in kept]) for i in (1, 2, 3)))
 
-    def run(t: pa.Table) -> pa.Table:
-        levels, lengths = token_stream(t["text"].combine_chunks(), order)
-        train = np.repeat(t["train"].to_numpy(zero_copy_only=False).astype(bool), lengths)
-        keys = np.concatenate([(k | np.where(train, _TRAINED, np.uint64(0)))[k > 0] for k in levels])
-        keys.sort()
-        trained = (keys & _TRAINED) > 0
-        keys &= ~_TRAINED
-        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        own = np.add.reduceat(trained.astype(np.int64), new)
-        keys = keys[new]
-        at = bucket_bounds(keys, buckets)
-        full = [b for b in range(buckets) if at[b] < at[b + 1]]
-        return pa.table(
-            {
-                "bucket": pa.array(full, pa.int32()),
-                "g": pa.array([t["g"][0].as_py()] * len(full), pa.int32()),
-                "keys": pa.array([pack_keys(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-                "counts": pa.array([pack_numbers(own[at[b] : at[b + 1]]) for b in full], pa.binary()),
-            }
-        )
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                cut = batch.slice(a, 64)
+                stream, lengths = word_stream(cut.column("text"))
+                if kept and held + len(stream) > BLOCK_TOKENS:
+                    yield joined()
+                    part, held, kept = part + 1, 0, []
+                kept.append((cut.column("doc_id"), cut.column("train").to_numpy(zero_copy_only=False).astype(bool), stream, lengths))
+                held += len(stream)
+        if kept:
+            yield joined()
+
+    return run, "bucket int, part long, kind int, keys binary, counts binary, about binary, words binary, places binary"
 
-    return run, "bucket int, g int, keys binary, counts binary"
+
+_ANSWER = "part long, bucket int, kind int, totals binary, about binary, words binary, places binary, tokens long, types long, once long, twice long"
 
 
 def _answered(t: pa.Table) -> pa.Table:
-    """Totals for every row of a bucket, and the bucket's part of N, V, n1 and n2 in its first row."""
-    parts = [unpack_keys(x) for x in t["keys"].to_pylist()]
-    keys, of = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(of, np.concatenate([unpack_numbers(x) for x in t["counts"].to_pylist()]).astype(np.float64)).astype(np.int64)
-    words = total[((keys & _LEVEL) == 0) & (keys != BEGIN) & (total > 0)]
-    cuts = np.cumsum([0] + [len(p) for p in parts])
-    first = lambda v: pa.array([int(v)] + [0] * (len(parts) - 1), pa.int64())
-    return pa.table(
-        {
-            "g": t["g"].combine_chunks(),
-            "bucket": t["bucket"].combine_chunks(),
-            "totals": pa.array([pack_numbers(total[of[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-            "tokens": first(words.sum()),
-            "words": first(len(words)),
-            "once": first((words == 1).sum()),
-            "twice": first((words == 2).sum()),
-        }
-    )
-
-
-_ANSWER = "g int, bucket int, totals binary, tokens long, words long, once long, twice long"
+    """Totals for every row of a bucket, and the bucket's part of N, V, n1 and n2 in its first row; what blocks are goes along."""
+    kinds = t["kind"].combine_chunks()
+    out = {x.split(" ")[0]: [] for x in _ANSWER.split(", ")}
+    figures = [0, 0, 0, 0]
+    for kind in (0, 1):
+        own = t.filter(pc.equal(kinds, kind))
+        if not own.num_rows:
+            continue
+        parts = [unpack_keys(x) for x in own["keys"].to_pylist()]
+        keys, of = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(of, np.concatenate([unpack_numbers(x) for x in own["counts"].to_pylist()]).astype(np.float64)).astype(np.int64)
+        if not kind:
+            words = total[(keys != BEGIN) & (total > 0)]
+            figures = [int(x) for x in (words.sum(), len(words), (words == 1).sum(), (words == 2).sum())]
+        cuts = np.cumsum([0] + [len(p) for p in parts])
+        for c in ("part", "bucket", "kind"):
+            out[c] += own[c].to_pylist()
+        out["totals"] += [pack_numbers(total[of[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
+    rest = t.filter(pc.is_null(kinds))
+    n, m = len(out["part"]), rest.num_rows
+    for c in ("part", "bucket", "kind"):
+        out[c] += rest[c].to_pylist()
+    out["totals"] += [None] * m
+    for c in ("about", "words", "places"):
+        out[c] = [None] * n + rest[c].to_pylist()
+    for c, v in zip(("tokens", "types", "once", "twice"), figures):
+        out[c] = [v] + [0] * (n + m - 1)
+    kinds_of = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pydict(out, pa.schema([(c, kinds_of[k]) for c, k in (x.split(" ") for x in _ANSWER.split(", "))]))
 
 
 class Automaton:
@@ -208,15 +279,23 @@ class Automaton:
         return out
 
 
-def _scored(order: int, corpus: dict, mass: float):
-    def run(t: pa.Table, answers: pa.Table) -> pa.Table:
-        levels, lengths = token_stream(t["text"].combine_chunks(), order)
-        keys, of = np.unique(np.concatenate([k[k > 0] for k in levels]), return_inverse=True)
-        o = np.argsort(answers["bucket"].to_numpy())
-        blobs = answers["totals"].to_pylist()
-        totals = np.concatenate([unpack_numbers(blobs[i]) for i in o]).astype(np.int64) if len(o) else np.zeros(0, np.int64)
-        if len(totals) != len(keys):
-            raise RuntimeError(f"{len(totals)} answers for {len(keys)} n-grams")
+def _scored(order: int, bits: int, corpus: dict, mass: float):
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        own = next(r for r in rows if r["about"] is not None)
+        about = pa.ipc.open_stream(own["about"]).read_all().combine_chunks()
+        lengths, train = about["length"].to_numpy(), about["train"].to_numpy(zero_copy_only=False).astype(bool)
+        words, places = unpack_keys(own["words"]), unpack_numbers(own["places"]).astype(np.int64)
+        levels = gram_levels(words[places], lengths, order, bits)
+        grams, of = np.zeros(0, np.uint64), places
+        if order > 1:
+            grams, above = np.unique(np.concatenate([k[k > 0] for k in levels[1:]]), return_inverse=True)
+            of = np.concatenate([places, above + len(words)])
+        answers = sorted((r["kind"], r["bucket"], r["totals"]) for r in rows if r["totals"] is not None)
+        totals = np.concatenate([unpack_numbers(x) for _, _, x in answers]).astype(np.int64)
+        if len(totals) != len(words) + len(grams):
+            raise RuntimeError(f"{len(totals)} answers for {len(words) + len(grams)} n-grams")
+        del rows, answers, grams
         a = Automaton(levels, totals, of, corpus, mass)
         starts = np.cumsum(lengths) - lengths
         count = totals[a.at[0]]
@@ -226,8 +305,8 @@ def _scored(order: int, corpus: dict, mass: float):
         known[starts] = False
         return pa.table(
             {
-                "doc_id": t["doc_id"].combine_chunks(),
-                "held_out": pa.array(~t["train"].to_numpy(zero_copy_only=False).astype(bool)),
+                "doc_id": about["doc_id"].combine_chunks(),
+                "held_out": pa.array(~train),
                 "n_tokens": pa.array(lengths - 1, pa.int64()),
                 "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(lengths), corpus["tokens"], np.int64)),
@@ -245,19 +324,16 @@ def score_texts(documents: DataFrame, train, order: int = 2, mass: float = MASS)
     ``order``: the longest n-grams, 1 to 4; ``mass``: the weight m of the shorter history.
     """
     spark = documents.sparkSession
-    size = int(str(documents.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    groups = max(partitions(spark), min(-(-size // GROUP_BYTES), 1 << 20))
-    buckets = groups
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    g = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(groups)).cast("int").alias("g")
-    rows = rows.select("*", g)
-    run, schema = _asked(groups, buckets, order)
-    asked = rows.groupBy("g").applyInArrow(run, schema)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, bits = max(partitions(spark), -(-size // BUCKET_BYTES)), gram_bits(size)
+    run, schema = _asked(buckets, order, bits)
+    asked = rows.mapInArrow(run, schema)
     answers = stored(asked.groupBy("bucket").applyInArrow(_answered, _ANSWER), "ngrams")
-    names = ["tokens", "words", "once", "twice"]
-    found = answers.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
-    run, schema = _scored(order, {x: found[x] for x in names}, mass)
-    return rows.groupBy("g").cogroup(answers.select("g", "bucket", "totals").groupBy("g")).applyInArrow(run, schema)
+    names = {"tokens": "tokens", "words": "types", "once": "once", "twice": "twice"}
+    found = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(x) for x, c in names.items()]).first()
+    run, schema = _scored(order, bits, {x: found[x] for x in names}, mass)
+    return answers.select("part", "bucket", "kind", "totals", "about", "words", "places").groupBy("part").applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
