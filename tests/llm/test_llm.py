@@ -206,6 +206,38 @@ def test_packing(spark):
     assert op4_packing.pack_texts(docs.limit(0)).count() == 0
 
 
+def test_packing_of_repeated_rows(spark):
+    pieces = spark.range(0, 3000, 1, 3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(30).cast("long").alias("length"), F.lit(7).cast("long").alias("ids_crc32"))
+    got = op4_packing.pack(pieces, 64, shard=100).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.sequence_id >> 32, []).append(r)
+    assert len(got) == 3000 and len(shards) == 30 and max(map(len, shards.values())) < 200
+
+
+def test_sum_of_squares():
+    """Each choice against the sums themselves."""
+    rng = random.Random(3)
+    sizes = np.array([rng.randrange(1, 10) for _ in range(200)], np.int64)
+    sequence, offset = op4_packing.sum_of_squares(sizes, 10)
+    open_, counts = {}, [0] * 11
+    for s, q, o in zip(sizes.tolist(), sequence.tolist(), offset.tolist()):
+        def total(gap):  # after the piece goes to a bin of that gap, 10 being a new one
+            c = counts.copy()
+            if gap < 10:
+                c[gap] -= 1
+            c[gap - s] += 1
+            return sum(x * x for x in c[1:10])
+
+        fits = [g for g in range(s, 11) if g == 10 or counts[g]]
+        gap = open_.get(q, 10)
+        assert o == 10 - gap and total(gap) == min(map(total, fits))
+        if gap < 10:
+            counts[gap] -= 1
+        open_[q] = gap - s
+        counts[gap - s] += 1
+
+
 def test_word_ids_of_odd_words():
     import public_tokenizers
 
@@ -256,6 +288,14 @@ def test_embeddings(spark):
     assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_vectors_of_unequal_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [3.0, 0.0, 0.0]), (5, [1.0, 0.0]), (6, None), (7, []), (8, [0.0, 1.0, None])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in op5_embeddings.near_vectors(df).collect()}
+        assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
 def test_hot_vectors_do_not_outweigh_pairs(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(120, 32))
@@ -304,6 +344,15 @@ def test_quality(spark):
     got = op6_quality.score(good, labels).join(labels, "doc_id").toPandas()
     y = (got.quality == 1) & (got.toxic == 0)
     assert (got.kept == y).mean() > 0.9 and got.kept[y].mean() > 0.95
+    unseen = F.crc32(F.col("doc_id").cast("string")) % 4 == 0  # labels that the classifier doesn't get
+    more, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = op6_quality.score(more, marks.where(~unseen)).join(marks.where(unseen), "doc_id").toPandas()
+    y = (got.quality == 1) & (got.toxic == 0)
+    print("held out:", len(got), (got.kept == y).mean(), got.kept[y].mean(), got.kept[got.toxic == 1].mean(), got.kept[got.quality == 0].mean())
+    assert len(got) > 500 and (got.kept == y).mean() > 0.95 and got.kept[y].mean() > 0.98
+    twice = good.union(good.limit(300).withColumn("text", F.concat("text", F.lit(" once more"))))
+    one, two = ({r.doc_id: r.score for r in op6_quality.score(x, labels).where("doc_id < 50").collect()} for x in (twice, twice.repartition(7)))
+    assert one.keys() == two.keys()
     docs = documents(spark)
     kept = op6_quality.wanted(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
@@ -314,10 +363,16 @@ def test_quality(spark):
 def test_chat(spark):
     chats = {1: "ab", 2: "abc", 3: "abc", 4: "abd", 5: "a", 6: "x"}
     rows = [(c, t, ["user", "assistant"][t % 2], m, 1) for c, text in chats.items() for t, m in enumerate(text)]
+    rows += [(None, 1, "assistant", "q", 2), (10, 0, "user", "a", 1), (10, 1, "assistant", "q", 2)]
     rows += [(7, 0, None, None, 1), (8, 0, None, "", 1), (None, 0, "user", "a", 1), (9, 3, "user", "q", 1), (9, 3, "user", "q", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int")
     got = {r.conv_id: (r.n_turns, r.n_copies) for r in op7_chat.maximal_chats(df).collect()}
-    assert got == {2: (3, 2), 4: (3, 1), 6: (1, 1), 7: (1, 1), 8: (1, 1), 9: (2, 1)}
+    assert got == {2: (3, 2), 4: (3, 1), 6: (1, 1), 7: (1, 1), 8: (1, 1), 9: (2, 1), 10: (2, 2)}
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64"}))
+    assert sorted(map(tuple, op7_chat.maximal_chats(df).collect())) == sorted(con.sql(op7_chat.ORACLE).fetchall())
+    nobody = spark.createDataFrame([(None, 0, "user", "hi")] * 2, "conv_id long, turn long, role string, text string")
+    assert [tuple(r)[:3] for r in op7_chat.maximal_chats(nobody).collect()] == [(None, 2, 1)]
     assert op7_chat.maximal_chats(df.limit(0)).count() == 0
 
 
@@ -382,9 +437,19 @@ def test_secrets(spark):
     assert shown(tuple(r) for r in got.collect()) == shown(want)
     cut = {r.doc_id: r.text for r in op9_secrets.redacted(df).collect() if r.doc_id is not None}
     assert cut[0] == "[secret:assign] é" and cut[3] == "[secret:access] [secret:hex]" and cut[5] is None
+    odd = df.withColumn("spans", F.lit("mine")).withColumn("a.b", F.lit(2)).withColumn("row", F.lit("r")).withColumn("n_chars", F.length("text"))
+    clean = op9_secrets.redacted(odd)
+    assert clean.dtypes == odd.dtypes
+    assert all((r.key, r.spans, r["a.b"], r.row) == (1, "mine", 2, "r") and (r.text is None or r.n_chars == len(r.text)) for r in clean.collect())
     assert op9_secrets.scan(df.limit(0)).count() == 0
 
 
+def test_sets_of_a_query():
+    q = ("and", ["abc", ("or", ["def", ("and", ["ghi", "jkl"])]), "xyz"])
+    assert set(trigrams.sets_of(q)) == {frozenset(["abc", "xyz", "def"]), frozenset(["abc", "xyz", "ghi", "jkl"])}
+    assert frozenset(["pas", "ass", "ssw", "swd"]) in trigrams.sets_of(trigrams.query_of("passw(or)?d")) and trigrams.sets_of("abc") == [frozenset(["abc"])]
+
+
 def test_trigram_queries():
     q = trigrams.query_of(op9_secrets.ASSIGN)
     assert trigrams.holds(q, lambda t: t in "my api-key") is False and trigrams.holds(q, lambda t: t in "the api_key") is True

@@ -2,7 +2,7 @@
 
 A document keeps a segment tree over its pre-tokens: leaves are runs of consecutive
 pre-tokens with their length and token count, inner nodes the sums below them.  An edit
-re-encodes the leaves it touches, one leaf of context before them, and as much after them
+goes down from the root to the leaf of its place by the sums of lengths and re-encodes the leaves it touches, one leaf of context before them, and as much after them
 as it takes until a pre-token ends where an old leaf ended; from there on the text and so
 its pre-tokens are the old ones.  Only sums on the way from those leaves to the root change.
 
@@ -20,7 +20,6 @@ the text that the one before left; edits of unknown documents change nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +65,11 @@ def counter(path: str | None = None) -> Counter:
 
 
 class CountedText:
-    """A text with its tree: ``tree[1]`` is the whole, node k's children are 2k and 2k + 1, leaves begin at ``first``."""
+    """A text with its tree, as two arrays: the sums of characters and of tokens.
+
+    Node 1 is the whole, node k's children are 2k and 2k + 1, the leaves begin at ``first``
+    and those past the text's end are empty.
+    """
 
     def __init__(self, text: str, count: Counter, leaf: int = LEAF, state: tuple[list[int], list[int]] | None = None):
         self.text, self.count, self.leaf = text, count, leaf
@@ -84,55 +87,74 @@ class CountedText:
     def _build(self) -> None:
         leaves = self._leaves(self.count.split(self.text), self.leaf)
         self.first = 1
-        while self.first < max(1, len(leaves)):
+        while self.first < len(leaves):
             self.first *= 2
-        self.chars = [c for c, _ in leaves]
-        self.tree = [0] * self.first + [n for _, n in leaves] + [0] * (self.first - len(leaves))
+        self.chars, self.tree = ([0] * self.first + [x[i] for x in leaves] + [0] * (self.first - len(leaves)) for i in (0, 1))
         for k in range(self.first - 1, 0, -1):
-            self.tree[k] = self.tree[2 * k] + self.tree[2 * k + 1]
+            self._add(k)
+
+    def _add(self, k: int) -> None:
+        self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+        self.tree[k] = self.tree[2 * k] + self.tree[2 * k + 1]
 
     @property
     def tokens(self) -> int:
-        return self.tree[1] if len(self.tree) > 1 else 0
+        return self.tree[1]
+
+    def _leaf_at(self, place: int) -> tuple[int, int]:
+        """The first leaf that ends at ``place`` or after it, and where it ends; from the root down."""
+        k, before = 1, 0
+        while k < self.first:
+            k *= 2
+            if before + self.chars[k] < place:
+                before += self.chars[k]
+                k += 1
+        return k - self.first, before + self.chars[k]
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Puts ``new`` in place of characters start to stop."""
         start = max(0, min(start, len(self.text)))
         stop = max(start, min(stop, len(self.text)))
-        ends = list(accumulate(self.chars))
         text = self.text[:start] + new + self.text[stop:]
         moved = len(new) - (stop - start)
-        low = next((i for i, e in enumerate(ends) if e >= start), max(0, len(ends) - 1))
-        low = max(0, low - 1)
-        begin = ends[low - 1] if low else 0
-        old_ends = {e + moved: i for i, e in enumerate(ends) if e >= stop}
-        at, tokens, high = begin, [], len(ends)
+        low, end = self._leaf_at(start)
+        begin = end - self.chars[self.first + low]
+        if low:
+            low -= 1
+            begin -= self.chars[self.first + low]
+        after, end = self._leaf_at(stop)
+        last = self._leaf_at(len(self.text))[0]
+        at, tokens, high = begin, [], None
         while at < len(text):
             m = self.count.match(text, at)
             tokens.append(m[0])
             at = m.end()
-            if at >= start + len(new) and at in old_ends and old_ends[at] >= low:
-                high = old_ends[at] + 1
+            while after < last and end + moved < at:
+                after += 1
+                end += self.chars[self.first + after]
+            if at >= start + len(new) and end + moved == at and after >= low:
+                high = after + 1
                 break
+        grown = not self.text
         self.text = text
         self.reencoded += at - begin
+        if high is None:  # to the end of the text, where empty leaves may follow
+            high = max(last + 1, min(self.first, low - -len(tokens) // self.leaf))
         places = high - low
-        size = max(1, -(-len(tokens) // places)) if places else 0
-        if not places or size > 8 * self.leaf:
+        size = max(1, -(-len(tokens) // places))
+        if grown or size > 8 * self.leaf:
             self._build()  # grown too far for its tree
             self.reencoded += len(text)
             return
         leaves = self._leaves(tokens, size)
         leaves += [(0, 0)] * (places - len(leaves))
         touched = set()
-        for i, (c, n) in enumerate(leaves, low):
-            self.chars[i] = c
-            self.tree[self.first + i] = n
-            touched.add((self.first + i) // 2)
-        while touched:
+        for i, (c, n) in enumerate(leaves, self.first + low):
+            self.chars[i], self.tree[i] = c, n
+            touched.add(i // 2)
+        while touched - {0}:
             for k in touched:
-                if k:
-                    self.tree[k] = self.tree[2 * k] + self.tree[2 * k + 1]
+                self._add(k)
             touched = {k // 2 for k in touched if k > 1}
 
 
@@ -145,17 +167,17 @@ def _tree_of(path, leaf: int):
                 trees = [CountedText(x or "", count, leaf) for x in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([t.chars for t in trees], pa.list_(pa.int32())), pa.array([t.tree for t in trees], pa.list_(pa.int64())), pa.array([t.tokens for t in trees], pa.int64())],
-                    [*b.schema.names, "leaf_chars", "tree", "n_tokens"],
+                    [*b.schema.names, "char_tree", "tree", "n_tokens"],
                 )
 
     return run
 
 
 def build(documents: DataFrame, leaf: int = LEAF, vocabulary: str | None = None) -> DataFrame:
-    """``documents`` with their trees: leaf_chars, tree and n_tokens (columns of these names are replaced)."""
-    rows = documents.drop("leaf_chars", "tree", "n_tokens")
+    """``documents`` with their trees: char_tree, tree and n_tokens (columns of these names are replaced; ``apply_lists`` and ``apply_edits`` also replace ``reencoded`` and take ``edits``)."""
+    rows = documents.drop("char_tree", "tree", "n_tokens")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_tree_of(vocabulary, leaf), schema + ", leaf_chars array<int>, tree array<bigint>, n_tokens bigint")
+    return rows.mapInArrow(_tree_of(vocabulary, leaf), schema + ", char_tree array<int>, tree array<bigint>, n_tokens bigint")
 
 
 def _edited(path, leaf: int):
@@ -165,7 +187,7 @@ def _edited(path, leaf: int):
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
                 done = []
-                for text, chars, tree, edits in zip(*(b.column(c).to_pylist() for c in ("text", "leaf_chars", "tree", "edits"))):
+                for text, chars, tree, edits in zip(*(b.column(c).to_pylist() for c in ("text", "char_tree", "tree", "edits"))):
                     t = CountedText(text or "", count, leaf, (chars, tree))
                     for e in edits or []:
                         t.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
@@ -173,7 +195,7 @@ def _edited(path, leaf: int):
                 columns = {n: b.column(n) for n in b.schema.names if n != "edits"}
                 columns |= {
                     "text": pa.array([t.text for t in done], pa.string()),
-                    "leaf_chars": pa.array([t.chars for t in done], pa.list_(pa.int32())),
+                    "char_tree": pa.array([t.chars for t in done], pa.list_(pa.int32())),
                     "tree": pa.array([t.tree for t in done], pa.list_(pa.int64())),
                     "n_tokens": pa.array([t.tokens for t in done], pa.int64()),
                     "reencoded": pa.array([t.reencoded for t in done], pa.int64()),

@@ -114,7 +114,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
     """``pieces`` (with a column length) plus sequence_id and offset.
 
-    Within a shard the longest pieces come first, so that the short ones close gaps.
+    Within a shard the longest pieces come first, so that the short ones close gaps.  Rows
+    are dealt to shards one by one, so repeated rows don't meet in one.
     """
     n = pieces.where(F.col("length") < capacity).count()
     shards = max(1, -(-n // shard))
@@ -129,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int, shard: int = SHARD) -> DataFrame:
         return t.drop(["shard"]).append_column("sequence_id", pa.array(base + sequence)).append_column("offset", pa.array(offset))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    short = pieces.where(F.col("length") < capacity).select(*keys, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int").alias("shard"))
+    short = pieces.where(F.col("length") < capacity).select(*keys, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"))
     packed = short.groupBy("shard").applyInArrow(run, schema + ", sequence_id long, offset long")
     full = pieces.where(F.col("length") == capacity).select(*keys, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)

@@ -19,7 +19,7 @@ counted, never listed, and connectivity leaves each task as a spanning forest.
 
 Bounded fit: cluster centres come from about ``SAMPLE`` vectors; all are indexed.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
+Defined results: vectors of one length are compared with each other; those that are null, empty, zero, or hold null or
 non-finite components have no links and are their own component; rows are judged one by
 one, so repeated ids stay (a component's id is the smallest non-null id in it).
 """
@@ -27,6 +27,7 @@ one, so repeated ids stay (a component's id is the smallest non-null id in it).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -53,12 +54,12 @@ CHUNK = 16384
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors in double precision [valid rows], which rows are valid) of a list column; the length is the most common one."""
+    """(unit vectors in double precision [valid rows], which rows are valid) of a list column whose lists have one length, or are empty."""
     rows = column.to_pylist()
     sizes = [len(x) for x in rows if x]
     d = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
     valid = np.array([bool(x) and len(x) == d and None not in x for x in rows], bool)
-    x = np.array([r for r, v in zip(rows, valid) if v], np.float64).reshape(-1, d)
+    x = np.array([r for r, v in zip(rows, valid) if v], np.float64).reshape(int(valid.sum()), d)
     with np.errstate(all="ignore"):
         top = np.abs(x).max(1) if d else np.zeros(0)
         fine = np.isfinite(x).all(1) & (top > 0)
@@ -418,7 +419,18 @@ def all_links(classes: DataFrame, cosine: float) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = 2, most_overlap: int = 6) -> DataFrame:
-    """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors`` (vec_id, embedding)."""
+    """(vec_id, n_links, component_id, kept, recall) of every row of ``vectors`` (vec_id, embedding).
+
+    Vectors of one length are compared with each other; recall is that of the vectors of a row's length.
+    """
+    sizes = [r[0] for r in vectors.where(F.size("embedding") > 0).select(F.size("embedding")).distinct().collect()]
+    if len(sizes) < 2:
+        return _near_of_one_length(vectors, cosine, overlap, most_overlap)
+    apart = [vectors.where(F.size("embedding") == s) for s in sorted(sizes)] + [vectors.where(~F.coalesce(F.size("embedding") > 0, F.lit(False)))]
+    return reduce(DataFrame.union, [_near_of_one_length(v, cosine, overlap, most_overlap) for v in apart])
+
+
+def _near_of_one_length(vectors: DataFrame, cosine: float, overlap: int, most_overlap: int) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = stored(rows.mapInArrow(_hashed, "vec_id long, class long, unit array<double>"), "vectors")

@@ -222,7 +222,8 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, poo
     n = marks.count()
     some = marks.where(draw("label") < min(1.0, labelled / max(n, 1)) * (1 << 30))
     rows = _plain(documents)
-    known = rows.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", (draw("fold") % 5).cast("int"))
+    first = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("d"))
+    known = first.select("doc_id", "d.*", "y").withColumn("fold", (draw("fold") % 5).cast("int"))
     total = documents.count()
     drawn = rows.where("doc_id is not null").where(draw("pool") < min(1.0, pool / max(total, 1)) * (1 << 30))
     others = drawn.join(marks, "doc_id", "left_anti").withColumn("y", F.lit(0)).withColumn("fold", F.lit(0))

@@ -3,8 +3,8 @@
 Chat logs often hold a conversation again and again, each time with a few more
 turns.  A rolling hash of the turns identifies every turn prefix; a conversation
 whose whole is a proper prefix of another goes (an anti-join on length and hash),
-and of equal conversations the one with the smallest id stays.  Only then are the
-rest rendered.  DataFrame functions only.
+and of equal conversations the one with the smallest id stays (a null id only where all
+are null).  Only then are the rest joined to their turns again and rendered.  DataFrame functions only.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, so ties
 and repeated rows have one order and repeated turn rows stay; a null conv_id is
@@ -44,12 +44,14 @@ def maximal_chats(conversations: DataFrame) -> DataFrame:
         F.max("place").alias("n_turns"),
         F.max_by("h1", "place").alias("h1"),
         F.max_by("h2", "place").alias("h2"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", render(F.col("role"), F.col("text")).alias("shown")))), lambda x: x["shown"]), "").alias("text"),
     )
-    first = F.struct(F.col("conv_id").isNotNull().alias("known"), "conv_id")
-    kept = whole.groupBy("n_turns", "h1", "h2").agg(F.min_by("text", first).alias("text"), F.min(first)["conv_id"].alias("conv_id"), F.count("*").alias("n_copies"))
+    kept = whole.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("id"), F.count("*").alias("n_copies"))
     shorter = t.where("more").select(F.col("place").alias("n_turns"), "h1", "h2").distinct()
-    return kept.join(shorter, ["n_turns", "h1", "h2"], "left_anti").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", "text")
+    kept = kept.join(shorter, ["n_turns", "h1", "h2"], "left_anti").select("id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies")
+    turns = conversations.select("conv_id", "turn", "role", "text").join(kept, F.col("conv_id").eqNullSafe(F.col("id")))
+    shown = F.struct("turn", "role", "text", render(F.col("role"), F.col("text")).alias("shown"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(shown)), lambda x: x["shown"]), "")
+    return turns.groupBy("conv_id", "n_turns", "n_copies").agg(text.alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Each rule's regular expression gives a Boolean query of trigrams that must occur
 in any text it matches.  The index holds, for the trigrams that the rules need, a
-posting for each text they occur in (lower-cased); the postings of a text meet by
-its key, the queries are evaluated on them, and only candidate texts are verified
-with the expressions.  Rules without a mandatory trigram scan every text instead.
+posting for each text they occur in (lower-cased).  A query in disjunctive form is a
+list of sets of trigrams; a set's trigrams are looked up in the index, and the texts in
+all of its postings are the rule's candidates, which are then verified with the
+expression.  Rules without a mandatory trigram scan every text instead.
 DataFrame functions only; no rule, trigram or text gathers in one task.
 
 Defined results: a null text counts as empty and has no spans; each row of the
@@ -86,10 +87,12 @@ def build_index(texts: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(key, kinds): texts whose postings fulfil a rule's query, with those rules' kinds."""
-    met = index.groupBy("key").agg(F.collect_set("trigram").alias("has"))
-    tests = [F.when(trigrams.holds(trigrams.query_of(r.pattern), lambda t: F.array_contains("has", t)), F.lit(r.kind)) for r in rules]
-    return met.select("key", F.array_compact(F.array(*tests)).alias("kinds")).where(F.size("kinds") > 0)
+    """(key, kinds): for each text the rules of whose queries some set of trigrams has a posting of it for each trigram."""
+    sets = [(r.kind, t) for r in rules for t in trigrams.sets_of(trigrams.query_of(r.pattern))]
+    looked_up = [(kind, i, len(t), x) for i, (kind, t) in enumerate(sets) for x in sorted(t)]
+    terms = index.sparkSession.createDataFrame(looked_up, "kind string, term int, needs int, trigram string")  # as many rows as the rules have
+    met = index.distinct().join(F.broadcast(terms), "trigram").groupBy("key", "kind", "term", "needs").count().where(F.col("count") == F.col("needs"))
+    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -132,13 +135,13 @@ def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
           a -> concat(a.out, substring(text, a.at + 1)))"""
     )
     columns = documents.columns
-    held = documents.withColumn("__raw", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))
+    held = documents.select(F.struct(*[documents[f"`{c}`"] for c in columns]).alias("row"))  # the table's own columns, whatever their names
+    held = held.select("row", F.col("row.doc_id").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
     out = keyed(held).join(found, "key", "left")
     changed = F.col("spans").isNotNull()
-    out = out.withColumn("__new", F.when(changed, cut).otherwise(F.col("__raw")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("__new").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__new")).select(*columns)
+    out = out.withColumn("cut", F.when(changed, cut).otherwise(F.col("row.text")))
+    new = {"text": F.col("cut"), "n_chars": F.when(changed, F.length("cut").cast(dict(documents.dtypes).get("n_chars", "long"))).otherwise(F.col("row").getField("n_chars")) if "n_chars" in columns else None}
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

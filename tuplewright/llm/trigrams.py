@@ -108,6 +108,22 @@ def trigrams_in(query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*(trigrams_in(q) for q in query[1]))
 
 
+def sets_of(query) -> list[frozenset[str]]:
+    """``query`` in disjunctive form: it holds where all trigrams of one of the sets do."""
+    if isinstance(query, str):
+        return [frozenset([query])]
+    found = [sets_of(q) for q in query[1]]
+    if query[0] == "or":
+        out = [s for f in found for s in f]
+    else:
+        out = [frozenset()]
+        for f in sorted(found, key=len):
+            if len(out) * len(f) <= MOST:  # what would need more sets is left to the verification
+                out = [a | b for a in out for b in f]
+    out = list(dict.fromkeys(out))
+    return [s for s in out if not any(o < s for o in out)]
+
+
 def holds(query, has):
     """``query`` with each trigram t replaced by ``has(t)``, as a value that knows & and |."""
     if isinstance(query, str):
