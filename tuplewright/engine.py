@@ -7,9 +7,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.fixpoint import Evaluator
-from .plans.analysis import check
-from .plans.strata import needed_for
-from .plans.syntax import Program, ProgramError, parse
+from .plans.analysis import check, undefined
+from .plans.strata import needed_for, recursive, strata
+from .plans.syntax import Atom, Program, ProgramError, parse
 from .sources import files
 
 
@@ -27,16 +27,18 @@ def wrapping_integers(spark: SparkSession):
 class Engine:
     """``facts`` and ``out`` are the folders that EDB and OUTPUT files lie in; ``max_rounds`` bounds every fixpoint."""
 
-    def __init__(self, spark: SparkSession, facts: str | None = None, out: str | None = None, max_rounds: int | None = None):
-        self.spark, self.facts, self.out, self.max_rounds = spark, facts, out, max_rounds
+    def __init__(self, spark: SparkSession, facts: str | None = None, out: str | None = None, max_rounds: int | None = None, threads: int = 1):
+        """``threads``: strata that don't depend on each other run side by side on as many threads."""
+        self.spark, self.facts, self.out, self.max_rounds, self.threads = spark, facts, out, max_rounds, threads
+        self.seconds: dict[str, float] = {}
         self.rounds: dict[str, int] = {}
 
     def run(self, program: str | Program, tables: dict[str, DataFrame] | None = None, want: set[str] | None = None) -> dict[str, DataFrame]:
-        """All relations of the program.
+        """All relations of the program, or with ``want`` those that the named ones and the program's inputs and outputs depend on.
 
         ``tables`` bind predicates to DataFrames by position (integers and texts; rows with
-        nulls are refused by the language and left out).  ``want`` plans only what those
-        predicates and the program's own inputs and outputs depend on.
+        nulls are refused by the language and left out).  A table may hold a row again and
+        again: rules make sets, so only a table that is itself a result is made distinct.
         """
         program = parse(program) if isinstance(program, str) else program
         kinds_of = {"bigint": "Integer", "int": "Integer", "smallint": "Integer", "tinyint": "Integer", "string": "String"}
@@ -52,24 +54,42 @@ class Engine:
                 if p in kinds and len(kinds[p]) != len(df.columns):
                     raise ProgramError(f"The table for {p} has {len(df.columns)} columns, the program uses {len(kinds[p])}.")
                 kinds.setdefault(p, list(known[p]))
-                base[p] = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).na.drop().selectExpr(*[f"cast(c{i} as {'bigint' if k == 'Integer' else 'string'}) c{i}" for i, k in enumerate(known[p])]).distinct()
+                base[p] = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).na.drop().selectExpr(*[f"cast(c{i} as {'bigint' if k == 'Integer' else 'string'}) c{i}" for i, k in enumerate(known[p])])
             for name in ("EDB", "IMPORT"):
                 if name in kinds:
                     early = Evaluator(self.spark, kinds, base, self.max_rounds).run(needed_for(program, {name}))
                     for row in early[name].collect() if name in early else []:
                         self._load(name, row, kinds, base)
-            clauses = needed_for(program, want | {"OUTPUT"}) if want else program.clauses
-            run = Evaluator(self.spark, kinds, base, self.max_rounds)
-            relations = run.run(clauses)
-            for p in kinds:
-                run.relation(p)
-            self.rounds = run.rounds
-            for row in relations["OUTPUT"].collect() if "OUTPUT" in kinds else []:
+            outputs = []
+            if "OUTPUT" in kinds:
+                early = Evaluator(self.spark, kinds, base, self.max_rounds).run(needed_for(program, {"OUTPUT"}))
+                outputs = early["OUTPUT"].collect() if "OUTPUT" in early else []
+            for row in outputs:
                 if row[0] not in kinds:
                     raise ProgramError(f"OUTPUT of unknown predicate {row[0]}.")
+            names = set(want) | {"OUTPUT"} | {row[0] for row in outputs} if want else set(kinds)
+            clauses = needed_for(program, names) if want else program.clauses
+            run = Evaluator(self.spark, kinds, base, self.max_rounds, self.threads)
+            run.run(clauses)
+            names |= {x.name for c in clauses for x in [*c.heads, *c.body] if isinstance(x, Atom)}
+            relations = {p: run.result(p) for p in kinds if p in names}
+            self.rounds, self.seconds = run.rounds, run.seconds
+            for row in outputs:
                 files.write(relations[row[0]], files.place(self.out, row[1]), row[2], row[0], kinds[row[0]])
         return relations
 
+    def explain(self, program: str | Program, tables: dict[str, DataFrame] | None = None) -> str:
+        """Column types and strata of a checked program, in evaluation order; nothing runs."""
+        program = parse(program) if isinstance(program, str) else program
+        kinds_of = {"bigint": "Integer", "int": "Integer", "string": "String"}
+        kinds = check(program, {p: tuple(kinds_of.get(t, "Integer") for _, t in df.dtypes) for p, df in (tables or {}).items()})
+        lines = [f"{p}({', '.join(k)})" for p, k in sorted(kinds.items())]
+        lines += [f"warning: {p} is used but has no clause and no table." for p in undefined(program, set(tables or {}))]
+        for n, group in enumerate(strata(program.clauses)):
+            lines.append(f"stratum {n}" + (" (recursive)" if recursive(program.clauses, group) else ""))
+            lines += ["  " + " ".join(str(program.clauses[i]).split()) for i in group]
+        return "\n".join(lines)
+
     def _load(self, source: str, row, kinds: dict, base: dict[str, DataFrame]) -> None:
         p = row[0]
         if p not in kinds:
@@ -78,4 +98,4 @@ class Engine:
             new = files.read(self.spark, files.place(self.facts, row[1]), row[2], p, kinds[p])
         else:
             new = files.listed(self.spark, files.place(self.facts, row[1]), row[2])
-        base[p] = base[p].union(new).distinct() if p in base else new
+        base[p] = base[p].union(new) if p in base else new

@@ -5,12 +5,15 @@ Money is bound in cents and times in whole days, as the language has integers an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
+from .incremental import Incremental
+from .sources.store import shared_root
 
 #: Predicates over tables: (table, columns as SQL of Spark).
 BINDINGS: dict[str, tuple[str, list[str]]] = {
@@ -116,7 +119,36 @@ CATALOGUE: dict[str, Query] = {
         ("c",),
         "SELECT DISTINCT o_custkey AS c FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderstatus <> 'F')",
     ),
-    "counter": Query("Nat(0). Nat(y) :- Nat(x), BIND(y, x + 1), LTE(y, 12).", "Nat", ("n",), "SELECT unnest(range(13))::BIGINT AS n"),
+    "value_walk": Query(
+        "Seen(k) :- Part(k, _, _, 1). Seen(m) :- Seen(k), BIND(m, k * 2 + 3), LT(m, 5000).",
+        "Seen",
+        ("n",),
+        "WITH RECURSIVE w AS (SELECT p_partkey AS n FROM part WHERE p_size = 1 UNION SELECT n * 2 + 3 FROM w WHERE n * 2 + 3 < 5000) SELECT n FROM w",
+    ),
+    "shared_relations": Query(
+        "A(c, s) :- Order(o, c, _, _), Line(o, _, _, s), LT(s, 20), LT(c, 200). B(c, d) :- A(c, s), A(d, s). C(c, d) :- B(c, e), B(e, d), LT(c, 9), LT(d, 9), LT(e, 9).",
+        "C",
+        ("c", "d"),
+        "WITH a AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_suppkey < 20 AND o_custkey < 200), b AS (SELECT DISTINCT x.c AS c, y.c AS d FROM a AS x JOIN a AS y ON x.s = y.s WHERE x.c < 9 AND y.c < 9) SELECT DISTINCT x.c AS c, y.d AS d FROM b AS x JOIN b AS y ON x.d = y.c",
+    ),
+    "unsigned_shift": Query(
+        "U(k, u) :- Part(k, _, _, _), BIND(u, bshru(0 - k, 40)).",
+        "U",
+        ("k", "u"),
+        "SELECT p_partkey AS k, CASE WHEN p_partkey = 0 THEN 0 ELSE 16777215 END::BIGINT AS u FROM part",
+    ),
+    "node_ids": Query(
+        "Node(n) :- Nation(k, _, _), BIND(n, id_to_node(k * 7)). Back(k) :- Node(n), BIND(k, node_to_id(n)).",
+        "Back",
+        ("k",),
+        "SELECT DISTINCT n_nationkey::BIGINT * 7 AS k FROM nation",
+    ),
+    "closure_large": Query(
+        "Up(a, b) :- Order(a, _, _, _), BIND(b, a / 2), Order(b, _, _, _), LT(b, a). Over(a, b) :- Up(a, b). Over(a, c) :- Over(a, b), Over(b, c).",
+        "Over",
+        ("a", "b"),
+        "WITH RECURSIVE u AS (SELECT x.o_orderkey AS a, y.o_orderkey AS b FROM orders AS x JOIN orders AS y ON y.o_orderkey = x.o_orderkey // 2 WHERE y.o_orderkey < x.o_orderkey), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a, b FROM r",
+    ),
     "closure_linear": Query(
         "Step(a, b) :- Nation(a, _, _), BIND(b, a + 3), Nation(b, _, _). Reach(a, b) :- Step(a, b). Reach(a, c) :- Step(a, b), Reach(b, c).",
         "Reach",
@@ -144,9 +176,47 @@ CATALOGUE: dict[str, Query] = {
 }
 
 
+def _tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    return {p: spark.read.parquet(f"{sf_dir}/{BINDINGS[p][0]}.parquet").selectExpr(*BINDINGS[p][1]) for p in names}
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation through OUTPUT to CSV and back through EDB."""
+    folder = f"{shared_root(spark)}/{uuid.uuid4().hex}-csv"
+    nations = _tables(spark, sf_dir, ("Nation",))
+    Engine(spark, out=folder).run("""N(k, s) :- Nation(k, n, _), BIND(s, cat(n, ", \\ ")). OUTPUT('N, "n", "csv").""", nations)
+    return Engine(spark, facts=folder).run("""EDB('N, "n", "csv"). N(0, "") :- NEQ(0, 0).""")["N"].toDF("k", "s")
+
+
+#: Orders are the sources: their lines and customers carry the order key.
+BY_ORDER = """Larger(o, n) :- Line(o, n, _, _), Line(o, m, _, _), GT(m, n).
+Last(o, n) :- Line(o, n, _, _), NOT(Larger(o, n)).
+Long(o, c) :- Last(o, n), GT(n, 4), Order(o, c, _, _).
+Segment(s, o) :- Long(o, c), Customer(c, _, s)."""
+
+
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full run on the tables with every twentieth order altered, then an update to the tables as they are."""
+    now = _tables(spark, sf_dir, ("Line", "Order", "Customer"))
+    then = {**now, "Line": now["Line"].where("l_orderkey % 20 <> 0 or l_linenumber < 3").union(now["Line"].where("l_orderkey % 20 = 0").selectExpr("l_orderkey", "l_linenumber + 9", "l_partkey", "l_suppkey"))}
+    kept = Incremental(spark, BY_ORDER, {"Line": 0, "Order": 0}, f"{shared_root(spark)}/{uuid.uuid4().hex}-kept")
+    kept.run(then)
+    changed = now["Order"].where("o_orderkey % 20 = 0").select("o_orderkey")
+    return kept.update(now, changed)["Segment"].toDF("segment", "o")
+
+
+OTHERS = {
+    "csv_round_trip": (csv_round_trip, "SELECT DISTINCT n_nationkey::BIGINT AS k, n_name || ', \\ ' AS s FROM nation"),
+    "incremental_update": (
+        incremental_update,
+        "SELECT DISTINCT c_mktsegment AS segment, o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE n > 4",
+    ),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.run for name, q in CATALOGUE.items()}
+    return {name: q.run for name, q in CATALOGUE.items()} | {name: q for name, (q, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in CATALOGUE.items()}
+    return {name: q.sql for name, q in CATALOGUE.items()} | {name: sql for name, (_, sql) in OTHERS.items()}
