@@ -33,12 +33,13 @@ class Engine:
         self.seconds: dict[str, float] = {}
         self.rounds: dict[str, int] = {}
 
-    def run(self, program: str | Program, tables: dict[str, DataFrame] | None = None, want: set[str] | None = None) -> dict[str, DataFrame]:
+    def run(self, program: str | Program, tables: dict[str, DataFrame] | None = None, want: set[str] | None = None, keep: set[str] | None = None) -> dict[str, DataFrame]:
         """All relations of the program, or with ``want`` those that the named ones and the program's inputs and outputs depend on.
 
         ``tables`` bind predicates to DataFrames by position (integers and texts; rows with
         nulls are refused by the language and left out).  A table may hold a row again and
         again: rules make sets, so only a table that is itself a result is made distinct.
+        Relations in ``keep`` are written to the shared folder, for who reads them repeatedly.
         """
         program = parse(program) if isinstance(program, str) else program
         kinds_of = {"bigint": "Integer", "int": "Integer", "smallint": "Integer", "tinyint": "Integer", "string": "String"}
@@ -70,7 +71,7 @@ class Engine:
             names = set(want) | {"OUTPUT"} | {row[0] for row in outputs} if want else set(kinds)
             clauses = needed_for(program, names) if want else program.clauses
             run = Evaluator(self.spark, kinds, base, self.max_rounds, self.threads)
-            run.run(clauses)
+            run.run(clauses, keep or set())
             names |= {x.name for c in clauses for x in [*c.heads, *c.body] if isinstance(x, Atom)}
             relations = {p: run.result(p) for p in kinds if p in names}
             self.rounds, self.seconds = run.rounds, run.seconds

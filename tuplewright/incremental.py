@@ -48,7 +48,7 @@ class Incremental:
             for p, i in self.tagged.items():
                 rows = tables[p].toDF(*[f"c{k}" for k in range(len(tables[p].columns))])
                 now[p] = rows if touched is None else rows.where(self._bucket(F.col(f"c{i}")).isin(touched))
-            for p, rows in Engine(self.spark).run(self.local, now, set(self.tag_of)).items():
+            for p, rows in Engine(self.spark).run(self.local, now, set(self.tag_of), set(self.tag_of)).items():
                 if p not in self.tag_of:
                     continue
                 if touched is None:

@@ -74,7 +74,7 @@ class Evaluator:
                 self.relations[p] = union([*known, *frames]).distinct()
                 self.bags.discard(p)
 
-    def run(self, clauses: list[Clause]) -> dict[str, DataFrame]:
+    def run(self, clauses: list[Clause], keep: set[str] = frozenset()) -> dict[str, DataFrame]:
         self._add(self._facts([c for c in clauses if c.is_fact]))
         rules = [c for c in clauses if not c.is_fact]
         groups = strata(rules)
@@ -84,7 +84,7 @@ class Evaluator:
             for name in (x.name for i in g for x in rules[i].body if isinstance(x, Atom)):
                 uses[name] = uses.get(name, 0) + (2 if loop else 1)
         inside = {h.name for g, loop in zip(groups, loops) if loop for i in g for h in rules[i].heads}
-        self.shared = {h.name for c in rules for h in c.heads if uses.get(h.name, 0) > 1} - inside
+        self.shared = {h.name for c in rules for h in c.heads if uses.get(h.name, 0) > 1 or h.name in keep} - inside
         place = {i: k for k, g in enumerate(groups) for i in g}
         after: dict[int, set[int]] = {k: set() for k in range(len(groups))}
         for i, users in enumerate(edges(rules)):

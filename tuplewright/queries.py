@@ -199,7 +199,7 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run on the tables with every twentieth order altered, then an update to the tables as they are."""
     now = _tables(spark, sf_dir, ("Line", "Order", "Customer"))
     then = {**now, "Line": now["Line"].where("l_orderkey % 20 <> 0 or l_linenumber < 3").union(now["Line"].where("l_orderkey % 20 = 0").selectExpr("l_orderkey", "l_linenumber + 9", "l_partkey", "l_suppkey"))}
-    kept = Incremental(spark, BY_ORDER, {"Line": 0, "Order": 0}, f"{shared_root(spark)}/{uuid.uuid4().hex}-kept")
+    kept = Incremental(spark, BY_ORDER, {"Line": 0, "Order": 0}, f"{shared_root(spark)}/{uuid.uuid4().hex}-kept", 16)
     kept.run(then)
     changed = now["Order"].where("o_orderkey % 20 = 0").select("o_orderkey")
     return kept.update(now, changed)["Segment"].toDF("segment", "o")
