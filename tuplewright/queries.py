@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .code_queries import CODE
 from .engine import Engine
 from .incremental import Incremental
 from .sources.store import shared_root
@@ -215,8 +216,8 @@ OTHERS = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q.run for name, q in CATALOGUE.items()} | {name: q for name, (q, _) in OTHERS.items()}
+    return {name: q.run for name, q in (CATALOGUE | CODE).items()} | {name: q for name, (q, _) in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in CATALOGUE.items()} | {name: sql for name, (_, sql) in OTHERS.items()}
+    return {name: q.sql for name, q in (CATALOGUE | CODE).items()} | {name: sql for name, (_, sql) in OTHERS.items()}
