@@ -19,7 +19,7 @@ Lone() :- NOT(Town(_)).
 
 
 def run(spark, program, text=PROGRAM):
-    sources = spark.createDataFrame([(1, "town.mdl", text)], "file_id long, file string, text string")
+    sources = spark.createDataFrame([(1, "town.rules", text)], "file_id long, file string, text string")
     return {p: {tuple(r) for r in df.collect()} for p, df in Engine(spark).run(program, sources=sources).items()}
 
 
@@ -119,7 +119,7 @@ def test_context_predicates(spark):
         At(i, s) :- INDEX(n, i), ID(n, s). Up(k) :- <: Town(_) :>, A_PR(k, _, _, _, _), A_SUPERTYPE(k, "Constant"). C(s) :- PARENT(a, b), ID(b, s), A_PR("Functor", a, _, _, _). T(k) :- AST(k, _, _, _, "mill").""",
     )
     assert got["I"] == {(1,), (2,), (3,), (4,)} and got["S"] == {("mill",)} and got["R"] == {("Town",)}
-    assert {("add",), ("mul",), ("x",), ("Near",), ("BIND",)} <= got["N"] and got["L"] == {(6, 1, "town.mdl")}
+    assert {("add",), ("mul",), ("x",), ("Near",), ("BIND",)} <= got["N"] and got["L"] == {(6, 1, "town.rules")}
     assert {(0, "x"), (1, "y")} <= got["At"] and got["Up"] == {("IntConstant",), ("StringConstant",), ("PredicateRef",)}
     assert got["C"] == {("add",), ("mul",)} and got["T"] == {("STRING",)}
 
@@ -163,8 +163,8 @@ def test_readings_and_faults(spark):
         Engine(spark).run("Q($x) :- NOT(<: P($x) :>).")
     with pytest.raises(ProgramError):
         Engine(spark, language="cobol")
-    with pytest.raises(Exception, match="bad.mdl"):
-        sources = spark.createDataFrame([(1, "bad.mdl", "A(")], "file_id long, file string, text string")
+    with pytest.raises(Exception, match="bad.rules"):
+        sources = spark.createDataFrame([(1, "bad.rules", "A(")], "file_id long, file string, text string")
         Engine(spark).run("Q($x) :- <: $x(...) :>.", sources=sources)
 
 
@@ -177,15 +177,15 @@ def test_null_texts_empty_tables_and_emission(spark):
 
 
 def test_files_and_their_ids(spark, tmp_path):
-    for name, text in (("a/x y.mdl", "A(1)."), ("x y.mdl", "B(1)."), ("c+d.mdl", "C(1)."), ("gone.mdl", "D(1).")):
+    for name, text in (("a/x y.rules", "A(1)."), ("x y.rules", "B(1)."), ("c+d.rules", "C(1)."), ("gone.rules", "D(1).")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     kept = str(tmp_path / "ids.json")
     program = "Q(s, f) :- <: $p(...) . :>, ID($p, s), BIND(f, bshru(node_to_id($p), 32))."
-    names = {str(tmp_path / n): "A" for n in ("x y.mdl", "a/x y.mdl")}
+    names = {str(tmp_path / n): "A" for n in ("x y.rules", "a/x y.rules")}
     first = {tuple(r) for r in Engine(spark, ids=FileIds(kept)).run(program, sources=names)["Q"].collect()}
     assert first == {("A", 1), ("B", 2)}
-    more = {**names, f"file://{tmp_path}/c+d.mdl": "M", str(tmp_path / "gone.mdl"): "D"}
+    more = {**names, f"file://{tmp_path}/c+d.rules": "M", str(tmp_path / "gone.rules"): "D"}
     assert {tuple(r) for r in Engine(spark, ids=FileIds(kept)).run(program, sources=more)["Q"].collect()} == first | {("C", 3)}
     with pytest.raises(ProgramError):
         Engine(spark).run(program, sources={"x": "Z"})

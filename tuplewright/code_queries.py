@@ -27,7 +27,7 @@ class CodeQuery:
     sql: str
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS file_id", "concat(p_partkey, '.mdl') AS file", f"{PROGRAM} AS text")
+        texts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS file_id", "concat(p_partkey, '.rules') AS file", f"{PROGRAM} AS text")
         return Engine(spark).run(self.program, sources=texts, want={self.result})[self.result].toDF(*self.names)
 
 

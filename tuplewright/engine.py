@@ -36,10 +36,10 @@ def _kinds(name: str, kinds: list[str]) -> tuple[str, ...]:
 class Engine:
     """``facts`` and ``out`` are the folders that EDB and OUTPUT files lie in; ``max_rounds`` bounds every fixpoint."""
 
-    def __init__(self, spark: SparkSession, facts: str | None = None, out: str | None = None, max_rounds: int | None = None, threads: int = 1, language: str = "metadl", ids: FileIds | None = None):
+    def __init__(self, spark: SparkSession, facts: str | None = None, out: str | None = None, max_rounds: int | None = None, threads: int = 1, language: str = "rules", ids: FileIds | None = None):
         """``threads``: strata that don't depend on each other run side by side on as many threads.
 
-        ``language``: of the trees that context predicates look at, ``metadl`` (rule programs,
+        ``language``: of the trees that context predicates look at, ``rules`` (rule programs,
         which patterns and ``sources`` are about) or ``java`` (trees given as tables only).
         """
         self.spark, self.facts, self.out, self.max_rounds, self.threads = spark, facts, out, max_rounds, threads
@@ -62,7 +62,7 @@ class Engine:
         program = parse(program) if isinstance(program, str) else program
         tables = dict(tables or {})
         if sources is not None:
-            if self.language != "metadl":
+            if self.language != "rules":
                 raise ProgramError("Sources of this language can't be read, give their trees as tables.")
             tables.update(trees(texts_of(self.spark, sources, self.ids) if isinstance(sources, dict) else sources))
         program = self._expanded(program, tables)

@@ -191,7 +191,7 @@ class _Reader:
         self.take("var", "analyze")
         self.take("mark", "(")
         about = self.reference()
-        language = Tree("StringConstant", [], [] if self.pattern else [("STRING", "metadl")], self.tree(begin, "").span, "$_" if self.pattern else None)
+        language = Tree("StringConstant", [], [] if self.pattern else [("STRING", "rules")], self.tree(begin, "").span, "$_" if self.pattern else None)
         if self.sees("mark", ","):
             self.at += 1
             language = self.text()
