@@ -286,6 +286,9 @@ def test_embeddings(spark):
     assert {i: r.component_id for i, r in got.items()} == want
     assert [got[i].n_links for i in range(157)] == n.tolist()
     assert all(got[i].kept == (want[i] == i) for i in got)
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([r[0] for r in rows]), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}))
+    assert sorted(con.sql(op5_embeddings.ORACLE).fetchall()) == sorted(tuple(r) for r in got.values())
 
 
 def test_vectors_of_unequal_length(spark):
@@ -471,6 +474,9 @@ def test_jaccard(spark):
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id])
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r.doc_id for r in rows], "text": pa.array([r.text for r in rows], pa.string())}))
+    assert sorted(con.sql(op10_jaccard.ORACLE).fetchall()) == sorted({tuple(r) for r in got if r.doc_id is not None})
     kept = op10_jaccard.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(want.values()))
     assert op10_jaccard.near_duplicates(docs.limit(0)).count() == 0

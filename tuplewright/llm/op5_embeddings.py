@@ -469,3 +469,25 @@ def _near_of_one_length(vectors: DataFrame, cosine: float, overlap: int, most_ov
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Brute force over all pairs, where ids are unique and not null; a search that misses a link differs in ``recall`` too.
+ORACLE = """
+WITH RECURSIVE
+vectors AS MATERIALIZED (
+  SELECT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+),
+reach AS (SELECT a AS node, b AS other FROM links UNION SELECT node, b FROM reach JOIN links ON other = a),
+of_node AS (
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least_other, vec_id)) AS component_id
+  FROM embeddings
+  LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
+  LEFT JOIN (SELECT node, min(other) AS least_other FROM reach GROUP BY node) ON node = vec_id
+)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept, CAST(1 AS DOUBLE) AS recall FROM of_node
+"""

@@ -17,6 +17,8 @@ QUERIES = {
     "op9_secrets": op9_secrets.query,
 }
 ORACLES = {
+    "op5_embeddings": op5_embeddings.ORACLE,
+    "op10_jaccard": op10_jaccard.ORACLE,
     "op7_chat": op7_chat.ORACLE,
     "op9_secrets": op9_secrets.ORACLE,
 }
