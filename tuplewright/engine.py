@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators.fixpoint import Evaluator
 from .operators.rules import SPARK_TYPES
 from .plans.analysis import TREE_TYPES, check, undefined
+from .plans.domains import Domains
 from .plans.patterns import IDENTIFIERS, ambiguous, expand
 from .plans.strata import needed_for, recursive, strata
 from .plans.syntax import Atom, Program, ProgramError, parse
@@ -49,7 +50,7 @@ class Engine:
         self.seconds: dict[str, float] = {}
         self.rounds: dict[str, int] = {}
 
-    def run(self, program: str | Program, tables: dict[str, DataFrame] | None = None, want: set[str] | None = None, keep: set[str] | None = None, sources: DataFrame | dict[str, str] | None = None) -> dict[str, DataFrame]:
+    def run(self, program: str | Program, tables: dict[str, DataFrame] | None = None, want: set[str] | None = None, keep: set[str] | None = None, sources: DataFrame | dict[str, str] | None = None, types: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
         """All relations of the program, or with ``want`` those that the named ones and the program's inputs and outputs depend on.
 
         ``tables`` bind predicates to DataFrames by position (integers and texts; rows with
@@ -57,6 +58,7 @@ class Engine:
         again: rules make sets, so only a table that is itself a result is made distinct.
         ``sources``: programs to look at, a DataFrame (file_id, file, text) or a mapping of files
         to changes; their trees become the relations ``A_PR`` and ``A_SLOC``.
+        ``types``: column types of tables that hold node ids.
         Relations in ``keep`` are written to the shared folder, for who reads them repeatedly.
         """
         program = parse(program) if isinstance(program, str) else program
@@ -72,7 +74,7 @@ class Engine:
             odd = [c for c, t in df.dtypes if t not in kinds_of]
             if odd:
                 raise ProgramError(f"Columns {odd} of the table for {p} are neither integers nor texts.")
-            known[p] = _kinds(p, [kinds_of[t] for _, t in df.dtypes])
+            known[p] = tuple((types or {}).get(p) or _kinds(p, [kinds_of[t] for _, t in df.dtypes]))
         kinds = check(program, known)
         with wrapping_integers(self.spark):
             for p, df in tables.items():
@@ -111,6 +113,8 @@ class Engine:
         program = self._expanded(program, tables or {})
         kinds = check(program, {p: _kinds(p, [kinds_of.get(t, "Integer") for _, t in df.dtypes]) for p, df in (tables or {}).items()})
         lines = [f"{p}({', '.join(k)})" for p, k in sorted(kinds.items())]
+        domains = Domains(program, kinds)
+        lines += [f"domains of {p}: {' '.join('{' + ', '.join(map(str, d)) + '}' for d in domains.signature(p))}" for p in sorted(kinds) if domains.signature(p)]
         lines += [f"warning: {p} is used but has no clause and no table." for p in undefined(program, set(tables or {}))]
         lines += [f"warning: {m}" for m in unclear]
         for n, group in enumerate(strata(program.clauses)):

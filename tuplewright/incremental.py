@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine
+from .engine import Engine, _kinds
 from .operators.rules import schema_of
 from .plans.analysis import check
+from .plans.domains import SUFFIX, by_file
 from .plans.locality import split
+from .plans.patterns import expand
 from .plans.syntax import Program, parse
 from .sources.cache import Cache
+from .sources.trees import trees
 
 
 class Incremental:
@@ -42,7 +45,7 @@ class Incremental:
 
     def _run(self, tables: dict[str, DataFrame], touched: list[int] | None) -> dict[str, DataFrame]:
         kinds_of = {"bigint": "Integer", "int": "Integer", "smallint": "Integer", "tinyint": "Integer", "string": "String"}
-        kinds = check(self.program, {p: tuple(kinds_of[t] for _, t in df.dtypes) for p, df in tables.items()})
+        kinds = check(self.program, {p: _kinds(p, [kinds_of[t] for _, t in df.dtypes]) for p, df in tables.items()})
         if self.local.clauses and touched != []:
             now = {}
             for p, i in self.tagged.items():
@@ -62,4 +65,28 @@ class Incremental:
         if not self.rest.clauses:
             return kept
         used = {p: df for p, df in {**tables, **kept}.items()}
-        return {**Engine(self.spark).run(self.rest, used), **kept}
+        return {**Engine(self.spark).run(self.rest, used, types={p: kinds[p] for p in kept}), **kept}
+
+
+class IncrementalTrees:
+    """A program with patterns over sources (file_id, file, text), of which an update reads and parses only the buckets that hold a changed file."""
+
+    def __init__(self, spark: SparkSession, program: str | Program, root: str, buckets: int = 64):
+        program = expand(parse(program) if isinstance(program, str) else program, bound={"A_PR", "A_SLOC"})
+        program, self.trees = by_file(program, check(program))
+        self.inner = Incremental(spark, program, {p + SUFFIX: 0 for p in self.trees}, root, buckets)
+
+    def _tables(self, texts: DataFrame) -> dict[str, DataFrame]:
+        found = trees(texts)
+        node = {"A_PR": "c1", "A_SLOC": "c0"}
+        return {p + SUFFIX: found[p].select(F.shiftrightunsigned(node[p], 32).alias("file"), "*") for p in self.trees}
+
+    def run(self, texts: DataFrame) -> dict[str, DataFrame]:
+        """A full run."""
+        return self.inner.run(self._tables(texts))
+
+    def update(self, texts: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
+        """``texts`` as they are now; ``changed``: one column with the id of every file that was added, modified or deleted since the last run."""
+        bucket = self.inner._bucket
+        touched = [r[0] for r in changed.select(bucket(F.col(f"`{changed.columns[0]}`").cast("long"))).distinct().collect()]
+        return self.inner.update(self._tables(texts.where(bucket(F.col("file_id").cast("long")).isin(touched))), changed.select(F.col(f"`{changed.columns[0]}`").cast("long")))

@@ -11,9 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .code_queries import CODE
+from .code_queries import CODE, PROGRAM
 from .engine import Engine
-from .incremental import Incremental
+from .incremental import Incremental, IncrementalTrees
 from .sources.store import shared_root
 
 #: Predicates over tables: (table, columns as SQL of Spark).
@@ -206,7 +206,22 @@ def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.update(now, changed)["Segment"].toDF("segment", "o")
 
 
+COMMON = """Last(f, v) :- <: $p(..., $v). :>, INT($v, v), BIND(f, bshru(node_to_id($v), 32)).
+Shared(v) :- Last(f, v), Last(g, v), NEQ(f, g).
+Common(f, v) :- Last(f, v), Shared(v)."""
+
+
+def incremental_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full run on programs made of the parts with every tenth one altered and some missing, then an update to the parts as they are."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    texts = lambda df: df.selectExpr("p_partkey AS file_id", "concat(p_partkey, '.rules') AS file", f"{PROGRAM} AS text")
+    kept = IncrementalTrees(spark, COMMON, f"{shared_root(spark)}/{uuid.uuid4().hex}-kept", 16)
+    kept.run(texts(part.where("p_partkey % 100 <> 7").selectExpr("p_partkey", "p_brand", "if(p_partkey % 10 = 0, p_size + 100, p_size) AS p_size")))
+    return kept.update(texts(part), part.where("p_partkey % 10 = 0 OR p_partkey % 100 = 7").select("p_partkey"))["Common"].toDF("f", "v")
+
+
 OTHERS = {
+    "incremental_trees": (incremental_trees, "SELECT p_partkey AS f, p_size::BIGINT AS v FROM part WHERE p_size IN (SELECT p_size FROM part GROUP BY 1 HAVING count(*) > 1)"),
     "csv_round_trip": (csv_round_trip, "SELECT DISTINCT n_nationkey::BIGINT AS k, n_name || ', \\ ' AS s FROM nation"),
     "incremental_update": (
         incremental_update,
