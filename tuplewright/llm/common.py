@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that Spark and Python hand each other at once.  Ten thousand texts, which is Spark's own setting, are 34 MB, held several times over.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; from here on the session hands over ``BATCH_ROWS`` rows at once at most."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -44,7 +44,7 @@ from .common import components, discard, partitions, stored, table
 from .textkeys import bucket_bounds, distinct_by_text, mix, pack_keys, pack_numbers, shingle_keys, unpack_keys, unpack_numbers, word_keys
 
 #: Shingles gathered before a block is sent.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
 LARGEST_SMALL = 24
 STAR_ROUNDS = 3
 #: 64-bit words of a sketch.  It tells sets apart whose allowed difference is below about half its bits: some 2,500 shingles.
