@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tuplewright.engine import Engine
 from tuplewright.incremental import IncrementalTrees
@@ -10,6 +11,7 @@ from tuplewright.plans.analysis import check
 from tuplewright.plans.domains import Domains, by_file
 from tuplewright.plans.patterns import expand
 from tuplewright.plans.syntax import parse
+from tuplewright.sources.trees import trees
 
 
 def domains_of(text, language="java"):
@@ -89,3 +91,28 @@ def test_updates_of_trees(spark, tmp_path, share):
     full = Engine(spark).run(PROGRAM, sources=frame())
     for p in ("Fact", "Deep", "Head", "Missing", "Same", "Raw"):
         assert {tuple(r) for r in got[p].collect()} == {tuple(r) for r in full[p].collect()}, p
+
+
+def test_update_parses_changed_files_alone(spark, tmp_path):
+    """One bucket holds all files: those that didn't change keep their rows without being parsed again."""
+    frame = lambda texts: spark.createDataFrame([(f, f"{f}.rules", t) for f, t in texts.items()], "file_id long, file string, text string")
+    kept = IncrementalTrees(spark, "Word(f, w) :- ID(n, w), BIND(f, bshru(node_to_id(n), 32)).", f"{tmp_path}/kept", buckets=1)
+    kept.run(frame({1: "A(1).", 2: "B(1).", 3: "C(1)."}))
+    got = kept.update(frame({1: "no program", 2: "D(1).", 4: "E(1)."}), spark.createDataFrame([(2,), (3,), (4,)], "f int"))
+    assert {tuple(r) for r in got["Word"].collect()} == {(1, "A"), (2, "D"), (4, "E")}
+    got = kept.update(frame({}), spark.createDataFrame([(1,), (2,), (4,)], "f int"))
+    assert got["Word"].count() == 0
+
+
+def test_sources_of_one_partition_are_dealt_out(spark):
+    texts = spark.range(64).selectExpr("id file_id", "concat(id, '.rules') file", "concat('A(', id, ').') text").coalesce(1)
+    found = trees(texts)
+    assert found["A_PR"].select(F.input_file_name()).distinct().count() > 1
+    assert found["A_PR"].where("c0 = 'NUMERAL'").selectExpr("cast(c4 as long)").toDF("n").distinct().count() == 64
+
+
+def test_trees_without_places(spark):
+    texts = spark.createDataFrame([(1, "a", "A(1, _). B(x) :- A(x, x).")], "file_id long, file string, text string")
+    whole, bare = trees(texts), trees(texts, False)
+    assert set(whole) == {"A_PR", "A_SLOC"} and set(bare) == {"A_PR"}
+    assert sorted(whole["A_PR"].collect()) == sorted(bare["A_PR"].collect())

@@ -215,6 +215,46 @@ def test_update_equals_full_run(spark, tmp_path, share):
         assert rows(got[p]) == rows(full[p]), p
 
 
+TESTS = {
+    "NEQ(f, g)": lambda f, g: f != g,
+    "NEQ(g, f + 1)": lambda f, g: g != f + 1,
+    "LT(f, g)": lambda f, g: f < g,
+    "LTE(f + 2, g)": lambda f, g: f + 2 <= g,
+    "GT(f, g * 1)": lambda f, g: f > g,
+    "GTE(f - 2, g)": lambda f, g: f - 2 >= g,
+    "EQ(f + 1, g)": lambda f, g: f + 1 == g,
+    "NOT(EQ(g, f))": lambda f, g: f != g,
+    "NOT(LT(g, f))": lambda f, g: g >= f,
+    "NOT(GTE(f, g))": lambda f, g: f < g,
+    "NOT(NEQ(g, f + 1))": lambda f, g: g == f + 1,
+    "NEQ(f, g), LT(g, 3)": lambda f, g: f != g and g < 3,
+}
+
+
+@pytest.mark.parametrize("test", TESTS)
+def test_comparisons_that_ask_for_any(spark, test):
+    rng = random.Random(test)
+    had = {(rng.randrange(6), rng.randrange(12)) for _ in range(24)}
+    table = spark.createDataFrame(sorted(had), "f long, v long")
+    got = Engine(spark).run(f"One(v) :- L(f, v), L(g, v), {test}. Own(f, v) :- L(f, v), L(g, v), {test}. All(f) :- L(f, _), L(g, _), {test}.", {"L": table})
+    own = {(f, v) for f, v in had for g, w in had if v == w and TESTS[test](f, g)}
+    assert rows(got["Own"]) == own and rows(got["One"]) == {(v,) for _, v in own}
+    assert rows(got["All"]) == {(f,) for f, _ in had for g, _ in had if TESTS[test](f, g)}
+
+
+def test_texts_that_differ(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("a", 2)], "f string, v long")
+    assert rows(Engine(spark).run("One(v) :- L(f, v), L(g, v), NEQ(f, g).", {"L": table})["One"]) == {(1,)}
+
+
+def test_pairs_are_not_listed(spark):
+    """100,000 rows of one value: their pairs are 10^10."""
+    table = spark.range(100_000).selectExpr("id f", "7L v")
+    found = Engine(spark).run("One(v) :- L(f, v), L(g, v), NEQ(f, g).", {"L": table})["One"]
+    assert "min(v_g" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found) == {(7,)}
+
+
 def test_catalogue(spark):
     """The queries that the larger catalogue run doesn't reach, against their SQL."""
     import duckdb

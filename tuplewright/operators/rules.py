@@ -3,7 +3,9 @@
 Relations have columns c0, c1, ... and no duplicates; a relation of no arguments has one
 row and a hidden column when it holds.  Literals are joined in an order that keeps them
 connected; a literal that only filters becomes a semi-join, negation an anti-join, a
-literal without variables an existence test against one row at most.
+literal without variables an existence test against one row at most.  A variable that is there
+for one comparison only is joined as its least and greatest value, so pairs are not listed
+to find that there is one.
 """
 
 from __future__ import annotations
@@ -39,6 +41,24 @@ def condition(t: Test) -> Column:
     return ~out if t.negated else out
 
 
+_TURNED = {"NEQ": "NEQ", "LT": "GT", "LTE": "GTE", "GT": "LT", "GTE": "LTE"}
+_OPPOSITE = {"EQ": "NEQ", "LT": "GTE", "LTE": "GT", "GT": "LTE", "GTE": "LT"}
+_LEAST, _MOST = "__least", "__most"
+
+
+def any_passes(t: Test, var: str, bound: set[str]) -> Column | None:
+    """Whether a value of ``var`` passes the test, by the least and the greatest of its values; None if these don't tell."""
+    op, left, right = _OPPOSITE.get(t.op) if t.negated else t.op, t.left, t.right
+    if op in _TURNED and right == Var(var):
+        op, left, right = _TURNED[op], right, left
+    if op not in _TURNED or left != Var(var) or not variables(right) <= bound:
+        return None
+    other = column(right)
+    if op == "NEQ":
+        return (F.col(_LEAST) != other) | (F.col(_MOST) != other)
+    return compare(op, F.col(_LEAST if op in ("LT", "LTE") else _MOST), other)
+
+
 def matches(atom: Atom, relation: DataFrame, keep: set[str]) -> DataFrame:
     """The relation's rows that fit the atom, as columns v_x for the variables in ``keep``."""
     first: dict[str, int] = {}
@@ -105,7 +125,17 @@ def body_frame(spark: SparkSession, clause: Clause, relation: Callable[[Atom, in
         shared = [f"v_{v}" for v in sorted(own & bound)]
         new = (own - bound) & used_later()
         rows = matches(atom, relation(atom, at), (own & bound) | new)
-        if frame is None:
+        passing = None
+        if frame is not None and first is None and len(new) == 1 and not new & heads:
+            uses = [x for x in [*others, *(clause.body[i] for i in places)] if variables(x) & new]
+            if len(uses) == 1 and isinstance(uses[0], Test):
+                passing = any_passes(uses[0], *new, bound)
+        if passing is not None:
+            var = F.col(f"v_{next(iter(new))}")
+            rows = rows.groupBy(*shared).agg(F.min(var).alias(_LEAST), F.max(var).alias(_MOST))
+            frame = (frame.join(rows, shared) if shared else frame.crossJoin(F.broadcast(rows))).where(passing).drop(_LEAST, _MOST)
+            others.remove(uses[0])
+        elif frame is None:
             frame = rows if new else spark.range(1).select(F.lit(True).alias(UNIT)).join(_exists(rows), F.col("__any"), "left_semi")
         elif not own or (not shared and not new):
             frame = frame.join(_exists(rows), F.col("__any"), "left_semi")

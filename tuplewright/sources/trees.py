@@ -1,7 +1,8 @@
 """Trees of programs as relations: ``A_PR`` (kind, node, place, child, token) and ``A_SLOC`` (node, first line and column, last line and column, file).
 
-Each source is parsed by itself in the task that reads it.  A node's id is its file's id in
-the upper 32 bits and its number in the file in the lower ones, so ids need no shuffle and
+Each source is parsed by itself.  Sources are dealt out first, as texts are small beside their
+trees and a table of them may be one file, which one task would parse.  A node's id is its file's id in
+the upper 32 bits and its number in the file in the lower ones, so trees need no shuffle and
 ``bshru(node_to_id(n), 32)`` gives the file back.  A null text has no tree; a text that is
 no program is an error that names its file.
 """
@@ -12,6 +13,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,7 @@ _COLUMNS = ["kind", "node", "place", "child", "token", "end_line", "end_column"]
 _SCHEMA = "kind string, node long, place long, child long, token string, end_line long, end_column long"
 #: Rows that a task hands over at once.
 CHUNK = 50_000
+TASKS_A_CORE = 4
 
 
 class FileIds:
@@ -75,7 +78,7 @@ def tree_rows(tree: Tree, base: int, file: str) -> Iterator[tuple]:
         yield None, me, first_line, first_column, file, last_line, last_column
 
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parsed(batches: Iterator[pd.DataFrame], places: bool = True) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
     for batch in batches:
         for file_id, file, text in zip(batch["file_id"], batch["file"], batch["text"]):
@@ -86,6 +89,8 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except ProgramError as e:
                 raise ProgramError(f"{file}: {e}") from None
             for row in tree_rows(tree, int(file_id) << 32, file):
+                if row[0] is None and not places:
+                    continue
                 rows.append(row)
                 if len(rows) == CHUNK:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
@@ -94,12 +99,20 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def trees(texts: DataFrame) -> dict[str, DataFrame]:
-    """``A_PR`` and ``A_SLOC`` of a DataFrame (file_id, file, text), written once; rows of a kind lie together, so that scans of a kind skip the rest."""
-    rows = texts.selectExpr("cast(file_id AS bigint) file_id", "cast(file AS string) file", "text").mapInPandas(_parsed, _SCHEMA)
+def trees(texts: DataFrame, places: bool = True) -> dict[str, DataFrame]:
+    """``A_PR`` and ``A_SLOC`` of a DataFrame (file_id, file, text), written once; rows of a kind lie together, so that scans of a kind skip the rest.
+
+    Without ``places``, for programs that don't use ``A_SLOC``, there is ``A_PR`` alone.
+    """
+    spark = texts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    dealt = texts.selectExpr("cast(file_id AS bigint) file_id", "cast(file AS string) file", "text").repartition(tasks, "file_id")
+    rows = dealt.mapInPandas(partial(_parsed, places=places), _SCHEMA)
     rows = written(rows.sortWithinPartitions("kind"), "trees")
-    place = rows.where("kind IS NULL").selectExpr("node c0", "place c1", "child c2", "end_line c3", "end_column c4", "token c5")
-    return {"A_PR": rows.where("kind IS NOT NULL").selectExpr("kind c0", "node c1", "place c2", "child c3", "token c4"), "A_SLOC": place}
+    found = {"A_PR": rows.where("kind IS NOT NULL").selectExpr("kind c0", "node c1", "place c2", "child c3", "token c4")}
+    if places:
+        found["A_SLOC"] = rows.where("kind IS NULL").selectExpr("node c0", "place c1", "child c2", "end_line c3", "end_column c4", "token c5")
+    return found
 
 
 def texts_of(spark: SparkSession, changes: dict[str, str], ids: FileIds) -> DataFrame:
